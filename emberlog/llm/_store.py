@@ -2,41 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberlog.sources.shared import new_path, shared_dir, written
+
+__all__ = ["let", "new_path", "running_starts", "shared_dir", "small_batches", "type_of", "written"]
+
 #: Rows in one Arrow batch. Texts are a few KB on average, so a batch stays at a few MB, and at
 #: this many times the longest text in the worst case.
 BATCH_ROWS = 400
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the session names none (tests), a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-emberlog-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/emberlog/{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and safe when executors go."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def running_starts(totals: DataFrame, order: str, value: str) -> DataFrame:
     """``totals`` with ``base``, the sum of ``value`` in the rows before: for tables with a row for each partition."""
     before = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
