@@ -360,13 +360,13 @@ def baseline_merge(spark: SparkSession, d: str) -> DataFrame:
     return inventory.merge_baseline(old, items.select("id", "fingerprint"), "id", "run-2")
 
 
-@query("""with recursive edges as (select p_partkey source, p_partkey * 2 target from part union all select p_partkey, p_partkey * 3 from part where p_size % 2 = 0),
-walk as (select p_partkey node, 0 depth, cast(null as bigint) via from part where p_partkey <= 5 union all
+@query("""with recursive edges as (select p_partkey source, p_partkey * 2 target from part where p_partkey > 0 union all select p_partkey, p_partkey * 3 from part where p_partkey > 0 and p_size % 2 = 0),
+walk as (select p_partkey node, 0 depth, cast(null as bigint) via from part where p_partkey between 1 and 5 union all
   select target, depth + 1, source from walk join edges on source = node where depth < 40),
 least as (select node, min(depth) depth from walk group by 1)
 select node, depth, min(via) via from walk join least using (node, depth) group by 1, 2""")
 def reference_closure(spark: SparkSession, d: str) -> DataFrame:
-    part = A.table(spark, d, "part")
+    part = A.table(spark, d, "part").where("p_partkey > 0")
     edges = part.select(F.col("p_partkey").alias("source"), (F.col("p_partkey") * 2).alias("target"))
     edges = edges.unionByName(part.where("p_size % 2 = 0").select(F.col("p_partkey").alias("source"), (F.col("p_partkey") * 3).alias("target")))
     return inventory.closure(part.where("p_partkey <= 5").select(F.col("p_partkey").alias("node")), edges, written)
