@@ -5,9 +5,11 @@ signature propose pairs; the signatures of a pair are compared batch by batch an
 once the posterior chance that its similarity reaches the threshold is under ``miss``; the pairs left
 are confirmed on their full shingle sets.
 
-A bucket of n classes never gives all its pairs. First each member meets the bucket's smallest one;
-then only members that are still in different components meet, since links inside a component change
-nothing. So a large group of copies costs a star, and no link between components is lost.
+A bucket of n classes never gives all its pairs. First each member meets the bucket's smallest one, its
+hub. Then the members of a hub are compared in blocks inside tasks, and only those that are still in
+different components, since links inside a component change nothing. A task gives out the pairs that
+pass the signature batches and one more, wider sketch; for texts of up to ``WIDE`` shingles this is the
+whole set, so what is given out grows with the links. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from emberlog.llm._words import ascii_words, mixed, shingles
 #: Bands and rows: a pair at similarity 0.8 shares no band with a chance of 8.5e-7.
 BANDS, ROWS = 46, 6
 HASHES = BANDS * ROWS
+#: Hashes in the wider sketch, and classes in one block of a hub.
+WIDE, BLOCK = 1024, 1024
 _RNG = np.random.default_rng(77)
 _A = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -99,6 +103,108 @@ def least_matches(threshold: float, miss: float, step: int = 32) -> list[tuple[i
     return out
 
 
+@lru_cache(maxsize=4 * WIDE)
+def least_common(n: int, threshold: float, miss: float) -> int:
+    """The least of ``n`` sampled shingles that two sets must share for the same posterior bound."""
+    s = (np.arange(4_000) + 0.5) / 4_000
+    low, high = 0, n
+    while low < high:
+        m = (low + high) // 2
+        log = m * np.log(s) + (n - m) * np.log1p(-s)
+        weight = np.exp(log - log.max())
+        low, high = (low, m) if weight[s >= threshold].sum() >= miss * weight.sum() else (m + 1, high)
+    return low
+
+
+def wide_sketches(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The least ``WIDE`` values, cut to 32 bits, of each shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(ascii_words(t), width) for t in batch.column("text").to_pylist()]
+            wide = [np.unique((s >> np.uint64(32)).astype(np.uint32))[:WIDE].tobytes() for s in sets]
+            yield pa.record_batch([pa.array([set_name(s) for s in sets], pa.binary()), pa.array(wide, pa.binary())], ["name", "wide"])
+
+    return run
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int, threshold: float, miss: float) -> bool:
+    """Whether two wide sketches, of sets of ``n_x`` and ``n_y`` shingles, leave the threshold possible.
+
+    Sketches below ``WIDE`` values are whole sets, and then the bound is exact but for equal 32-bit values,
+    which it counts as common. Else the values up to the end of the shorter range are a sample of the union.
+    """
+    whole = len(x) < WIDE and len(y) < WIDE
+    if not whole:
+        end = min(v[-1] for v in (x, y) if len(v) == WIDE)
+        x, y = x[: np.searchsorted(x, end, "right")], y[: np.searchsorted(y, end, "right")]
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    if whole:
+        common += n_x - len(x)
+        return 100 * common >= round(100 * threshold) * (n_x + n_y - common)
+    n = len(x) + len(y) - common
+    return common >= least_common(n, threshold, miss)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key as one table, of batches sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i == j:
+                continue
+            if held and names[i] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+            last = names[i]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_pairs(threshold: float, miss: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (a, b) of different components that may be links, of two blocks ``x`` and ``y`` of a hub.
+
+    A key holds two blocks at most, so that memory is bounded however many members a hub has.
+    """
+    percent = round(100 * threshold)
+
+    def compared(rows: pa.Table) -> Iterator[tuple[bytes, bytes]]:
+        name, wide = (rows.column(c).to_pylist() for c in ("name", "wide"))
+        part = np.unique(np.array(rows.column("part").to_pylist(), object), return_inverse=True)[1]
+        n = rows.column("n_shingles").to_numpy()
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
+        x, y, block = rows.column("x")[0].as_py(), rows.column("y")[0].as_py(), rows.column("block").to_numpy()
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        needed = least_matches(threshold, miss)
+        for k in range(0, len(left), 64):
+            some = left[k : k + 64]
+            i, j = np.repeat(some, len(right)), np.tile(right, len(some))
+            alive = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            if x == y:
+                alive &= i < j
+            i, j = i[alive], j[alive]
+            matches, before = np.zeros(len(i), np.int64), 0
+            for upto, least in needed:
+                matches += (sketch[i, before:upto] == sketch[j, before:upto]).sum(axis=1)
+                alive, before = matches >= least, upto
+                i, j, matches = i[alive], j[alive], matches[alive]
+            for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                if may_link(np.frombuffer(wide[p], np.uint32), np.frombuffer(wide[q], np.uint32), int(n[p]), int(n[q]), threshold, miss):
+                    yield min(name[p], name[q]), max(name[p], name[q])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, ["hub", "x", "y"]):
+            found = list(compared(rows))
+            if found:
+                yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return run
+
+
 def surviving(threshold: float, miss: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs whose signatures leave the threshold possible."""
 
@@ -133,11 +239,16 @@ def confirmed(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float, miss: float) -> DataFrame:
-    """The pairs (a, b) of class names that are links. classes: name, doc_id, n_shingles, sketch; texts: doc_id, text."""
+    """The pairs (a, b) of class names that are links, signatures first. classes: name, doc_id, n_shingles, sketch; texts: doc_id, text."""
     side = lambda c: classes.select(F.col("name").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(100 * threshold))
     left = written(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(surviving(threshold, miss), "a binary, b binary"), "surviving_pairs")
+    return exact(left, classes, texts, width, threshold)
+
+
+def exact(left: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of ``left`` that are links on their full sets."""
     names = left.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     ids = written(classes.join(names, "name", "left_semi").select("doc_id").distinct(), "surviving_ids")
     sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(full_sets(width), "name binary, shingles binary")
@@ -189,23 +300,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = written(classes, "class_rows")
     buckets = classes.select("name", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("name").alias("hub"), F.max("name").alias("last")).where("hub <> last").select("key", "hub")
-    buckets = written(buckets.join(shared, "key").distinct(), "buckets")
     sketches = written(classes.select("name", "doc_id", "n_shingles", "sketch").dropDuplicates(["name"]), "sketches")
 
-    star = written(buckets.where("hub <> name").select(F.col("hub").alias("a"), F.col("name").alias("b")).distinct(), "star_pairs")
+    star = buckets.join(shared, "key").where("hub <> name").select(F.col("hub").alias("a"), F.col("name").alias("b"))
+    star = written(star.distinct(), "star_pairs")
     links = written(verified(star, sketches, texts, width, threshold, miss), "star_links")
     labels = components(links)
 
-    members = buckets.join(labels.withColumnRenamed("node", "name"), "name", "left").select("key", "name", F.coalesce("root", "name").alias("part"))
-    split = members.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-    members = written(members.join(split, "key", "left_semi"), "split_buckets")
-    parts = members.select("key", "part").distinct()
-    across = parts.withColumnRenamed("part", "part_a").join(parts.withColumnRenamed("part", "part_b"), "key").where("part_a < part_b")
-    a, b = (members.select("key", F.col("name").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab")
-    pairs = across.join(a, ["key", "part_a"]).join(b, ["key", "part_b"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "cross_pairs")
+    members = star.select(F.col("a").alias("hub"), F.col("b").alias("name"))
+    members = members.join(labels.withColumnRenamed("node", "name"), "name", "left").select("hub", "name", F.coalesce("root", "name").alias("part"))
+    size = members.groupBy("hub").agg(F.count("*").alias("n"), F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = members.join(size.select("hub", blocks.alias("blocks")), "hub").withColumn("block", F.pmod(F.hash("name"), "blocks"))
+    members = written(members, "hub_members")
+    wanted = members.select("name").distinct()
+    ids = written(sketches.join(wanted, "name", "left_semi").select("doc_id").distinct(), "hub_member_ids")
+    wide = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(wide_sketches(width), "name binary, wide binary").dropDuplicates(["name"])
+    wide = written(sketches.select("name", "n_shingles", "sketch").join(wide, "name"), "wide_sketches")
+    members = members.join(wide, "name")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    members = members.select("hub", "name", "part", "n_shingles", "sketch", "wide", "block", other)
+    members = members.select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).drop("other")
+    pairs = members.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(block_pairs(threshold, miss), "a binary, b binary")
+    pairs = written(pairs.distinct().join(star, ["a", "b"], "left_anti"), "cross_pairs")
     if not pairs.isEmpty():
-        more = written(verified(pairs, sketches, texts, width, threshold, miss), "cross_links")
+        more = written(exact(pairs, sketches, texts, width, threshold), "cross_links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 

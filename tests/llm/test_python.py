@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from emberlog.llm import chat, decontamination, near_dedup, packing, token_frames, warc
@@ -194,3 +196,29 @@ def test_log_folds_edits_and_regenerations(spark):
     frame = spark.createDataFrame(log, "conv_id long, turn long, copy int, seq int, operation string, role string, text string")
     out = sorted((r["turn"], r["role"], r["text"]) for r in chat.reconstruct(frame).collect())
     assert out == [(0, "user", "hello"), (1, "assistant", "good"), (2, "user", "yz")]
+
+
+@pytest.mark.parametrize("length", [60, 3000])
+def test_block_pairs(length):
+    """Blocks of a hub give every link between components once; for whole sets nothing else."""
+    rng = random.Random(length)
+    base = [rng.randrange(10**9) for _ in range(length)]
+    texts = [[rng.randrange(10**9) if rng.random() < e else w for w in base] for e in (0.01, 0.02, 0.03, 0.05) for _ in range(8)]
+    sets = [near_dedup.shingles([str(w).encode() for w in t], 4) for t in texts]
+    names, blocks = [near_dedup.set_name(s) for s in sets], 3
+    rows = []
+    for k, s in enumerate(sets):
+        sketch = (near_dedup.signature(s) & np.uint32(255)).astype(np.uint8).tobytes()
+        wide = np.unique((s >> np.uint64(32)).astype(np.uint32))[: near_dedup.WIDE].tobytes()
+        for other in range(blocks):
+            x, y = sorted((k % blocks, other))
+            rows.append({"hub": b"h", "x": x, "y": y, "name": names[k], "part": b"%d" % (k % 5), "n_shingles": len(s), "sketch": sketch, "wide": wide, "block": k % blocks})
+    rows.sort(key=lambda r: (r["x"], r["y"]))
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=7)
+    found = [tuple(p.values()) for b in near_dedup.block_pairs(0.8, 1e-6)(iter(batches)) for p in b.to_pylist()]
+    near = lambda p, q: 100 * len(np.intersect1d(p, q)) >= 80 * len(np.union1d(p, q))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if i % 5 != j % 5]
+    links = {tuple(sorted((names[i], names[j]))) for i, j in pairs if near(sets[i], sets[j])}
+    assert len(found) == len(set(found)) and links <= set(found) and 0 < len(links) < len(pairs)
+    if length == 60:
+        assert set(found) == links
