@@ -203,7 +203,8 @@ def test_block_pairs(length):
     """Blocks of a hub give every link between components once; for whole sets nothing else."""
     rng = random.Random(length)
     base = [rng.randrange(10**9) for _ in range(length)]
-    texts = [[rng.randrange(10**9) if rng.random() < e else w for w in base] for e in (0.01, 0.02, 0.03, 0.05) for _ in range(8)]
+    texts = [[rng.randrange(10**9) if rng.random() < e else w for w in base] for e in (0.01, 0.02, 0.03, 0.05) for _ in range(12)]
+    texts = [list(t) for t in dict.fromkeys(map(tuple, texts))]  # classes have different sets
     sets = [near_dedup.shingles([str(w).encode() for w in t], 4) for t in texts]
     names, blocks = [near_dedup.set_name(s) for s in sets], 3
     rows = []
