@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, decontamination, near_dedup, packing, quality_rules, secret_scan, sharding, token_frames, url_filters, warc
+from emberlog.llm import chat, decontamination, near_dedup, packing, quality_rules, secret_scan, sharding, sql, token_frames, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,4 +96,7 @@ from a left join best using (page_id) left join spam using (page_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_url_filters": OP3_SQL}
+    return {
+        "op1_quality_rules": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_decontamination": sql.OP5_SQL, "op6_warc": sql.OP6_SQL,
+        "op8_near_dedup": sql.OP8_SQL, "op9_chat": sql.OP9_SQL, "op10_secret_scan": sql.OP10_SQL,
+    }
