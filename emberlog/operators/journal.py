@@ -136,3 +136,63 @@ def reassembled(chunks: DataFrame) -> DataFrame:
     kept = chunks.withColumn("_place", F.row_number().over(ordered) - 1).where("seq = _place")
     parts = F.array_sort(F.collect_list(F.struct("seq", "text")))
     return kept.groupBy("stream_id").agg(F.count("*").alias("chunks"), F.concat_ws("", F.transform(parts, lambda x: x["text"])).alias("text"))
+
+
+def next_buffered(inbox: DataFrame) -> DataFrame:
+    """instance_id, type, event_id: the oldest event of each type that nothing has taken."""
+    return inbox.where(F.col("consumed_at").isNull()).groupBy("instance_id", "type").agg(F.min("id").alias("event_id"))
+
+
+def by_public_id(instances: DataFrame, public_id: str) -> DataFrame:
+    """public id, matches, first_id, ambiguous: the oldest instance of each public id, and whether there are others."""
+    out = instances.groupBy(public_id).agg(F.count("*").alias("matches"), F.min_by("id", F.struct("created_at", "id")).alias("first_id"))
+    return out.withColumn("ambiguous", F.col("matches") > 1)
+
+
+def last_steps(steps: DataFrame, kinds: tuple[str, ...] = ("do", "waitForEvent")) -> DataFrame:
+    """instance_id, name, ordinal, type, state: the last started step of each name among ``kinds``."""
+    last = F.max(F.struct("ordinal", "type", "state")).alias("s")
+    return steps.where(F.col("type").isin(*kinds)).groupBy("instance_id", "name").agg(last).select("instance_id", "name", "s.*")
+
+
+def fenced(commits: DataFrame, instances: DataFrame) -> DataFrame:
+    """Each commit with ``outcome``: it counts only under a lease of its owner that is not over; the deadline itself is over."""
+    lease = instances.select(F.col("id").alias("instance_id"), "lease_owner", "lease_expires_at", F.lit(True).alias("_there"))
+    held = F.coalesce((F.col("lease_owner") == F.col("owner")) & (F.col("lease_expires_at") > F.col("created_at")), F.lit(False))
+    outcome = F.when(F.col("_there").isNull(), "no-instance").when(held, "committed").otherwise("lease-lost")
+    return commits.join(lease, "instance_id", "left").withColumn("outcome", outcome).drop("_there")
+
+
+def combined(branches: DataFrame) -> DataFrame:
+    """instance_id, type, all_done, any_done, first_done: parallel steps joined by all, any and first."""
+    done = F.col("state") == "completed"
+    return branches.groupBy("instance_id", "type").agg(F.bool_and(done).alias("all_done"), F.bool_or(done).alias("any_done"), F.min(F.when(done, F.col("ordinal"))).alias("first_done"))
+
+
+def attempt_ends(attempts: DataFrame, timeout_ms: int) -> DataFrame:
+    """Each attempt with ``ended``: open without a successor, timed-out once it takes longer than ``timeout_ms``, else finished."""
+    took = F.lead("created_at").over(W.partitionBy("instance_id").orderBy("ordinal")) - F.col("created_at")
+    return attempts.withColumn("ended", F.when(took.isNull(), "open").when(took > timeout_ms, "timed-out").otherwise("finished"))
+
+
+def public_events(log: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Rows of the log that have a public type, with it; the others are dropped."""
+    kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in types.items()])
+    return log.withColumn("type", kind).where("type is not null")
+
+
+def valid_instance_id(public_id: Column) -> Column:
+    """1 to 100 characters, and none of the ids that schedules make."""
+    return F.coalesce(F.length(public_id).between(1, 100) & ~public_id.rlike(r"\Acf_[0-9a-f]{64}\z"), F.lit(False))
+
+
+def event_outcome(status: Column, event_type: Column) -> Column:
+    """Whether an event may be sent: its type's letters first, then whether there is an instance, then whether it takes events."""
+    bad = ~F.coalesce(event_type.rlike(r"\A[A-Za-z0-9_-]{1,100}\z"), F.lit(False))
+    return F.when(bad, "bad-type").when(status.isNull(), "not-found").when(K.can_execute(status), "sent").otherwise("not-running")
+
+
+def finished_rollbacks(registrations: DataFrame) -> DataFrame:
+    """instance_id, outcome, status: failed and errored if any compensation failed, else complete and terminated."""
+    failed = F.bool_or("failed")
+    return registrations.groupBy("instance_id").agg(F.when(failed, "failed").otherwise("complete").alias("outcome"), F.when(failed, "errored").otherwise("terminated").alias("status"))
