@@ -289,7 +289,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Words are split at ASCII white space with A-Z lower-cased; a text with fewer than ``width`` words
     is one shingle. Null and empty texts have none and are linked with nothing. ``component_id`` is the
     least doc_id of the component. A null doc_id is never a component's id unless all of its component
-    have none; repeated rows each give a row. Other columns of ``docs`` are not read.
+    have none; a shingle set that only rows with null ids have is linked with nothing else. Repeated
+    rows each give a row. Other columns of ``docs`` are not read.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
