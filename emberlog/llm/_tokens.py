@@ -75,7 +75,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        #: A text that holds one of these is encoded whole: the library takes it out before the pre-tokens.
+        self.added = [x.content for x in t.get_added_tokens_decoder().values()]
         pre = t.pre_tokenizer
         # Cutting and the direct way hold for byte-level BPE without normaliser; else whole texts are encoded.
         self.cuts = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and t.normalizer is None
@@ -86,7 +87,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.cuts:
+        if not self.cuts or any(x in text for x in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
         return self.first[first] + b"".join(map(self.rest.__getitem__, rest))

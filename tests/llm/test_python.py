@@ -77,6 +77,17 @@ def test_token_files(spark, plain_ids, tmp_path):
     assert token_frames.round_trip(docs(spark, [(None, "a"), (5, "b"), (5, "b")])).count() == 3
 
 
+def test_ids_are_those_of_the_tokenizer_as_loaded():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_tokenizer())
+    end = "<|endoftext|>"
+    texts = [*some_texts(), f"a {end} b", end, f"{end}{end}", f" {end}  x\n{end}\n", f"one two{end}three four. " * 50, "<|endoftext |> a", "<| endoftext|>"]
+    made = encoder(default_tokenizer()).batch(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in made] == [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(encoder(default_tokenizer()).ids(f"a {end} b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_damaged_frame():
     data = bytearray(token_frames.file_bytes(0, 0, [(1, b"\1\0\0\0" * 50)]) + token_frames.TAIL)
     assert list(token_frames.TokenFile(bytes(data)).documents()) == [(0, b"\1\0\0\0" * 50)]
