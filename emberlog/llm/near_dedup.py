@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm._store import small_batches, written
@@ -68,8 +68,8 @@ def described(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 names.append(set_name(s) if len(s) else None)
                 sketches.append((sig & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
                 bands.append(band_keys(sig) if len(s) else None)
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, ["doc_id", "n_shingles", "name", "sketch", "bands"])
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["doc_id", "text_key", "n_shingles", "name", "sketch", "bands"])
 
     return run
 
@@ -239,7 +239,7 @@ def confirmed(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float, miss: float) -> DataFrame:
-    """The pairs (a, b) of class names that are links, signatures first. classes: name, doc_id, n_shingles, sketch; texts: doc_id, text."""
+    """The pairs (a, b) of class names that are links, signatures first. classes: name, doc_id, text_key, n_shingles, sketch; texts: doc_id, text, text_key."""
     side = lambda c: classes.select(F.col("name").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(100 * threshold))
@@ -247,11 +247,22 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
     return exact(left, classes, texts, width, threshold)
 
 
+def text_key(text: str) -> Column:
+    """A 256-bit name of a text: with the id it tells rows apart, also without or with repeated ids."""
+    return F.unhex(F.sha2(F.col(text), 256))
+
+
+def of_rows(texts: DataFrame, rows: DataFrame, doc_id: str, how: str, key: str = "text_key") -> DataFrame:
+    """``texts`` joined to the (doc_id, text_key) of ``rows``; a null id is an id."""
+    rows = rows.select(F.col("doc_id").alias("_row_id"), F.col("text_key").alias("_row_key"))
+    return texts.join(rows, F.col(doc_id).eqNullSafe(F.col("_row_id")) & F.col(key).eqNullSafe(F.col("_row_key")), how)
+
+
 def exact(left: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of ``left`` that are links on their full sets."""
     names = left.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    ids = written(classes.join(names, "name", "left_semi").select("doc_id").distinct(), "surviving_ids")
-    sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(full_sets(width), "name binary, shingles binary")
+    ids = written(classes.join(names, "name", "left_semi").select("doc_id", "text_key").distinct(), "surviving_ids")
+    sets = of_rows(texts, ids, "doc_id", "left_semi").select("text").mapInArrow(full_sets(width), "name binary, shingles binary")
     sets = written(sets.where("name is not null").join(names, "name", "left_semi").dropDuplicates(["name"]), "surviving_sets")
     side = lambda c: sets.select(F.col("name").alias(c), F.col("shingles").alias(f"set_{c}"))
     return left.join(side("a"), "a").join(side("b"), "b").mapInArrow(confirmed(threshold), "a binary, b binary")
@@ -283,25 +294,22 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, miss: float = 1e-6) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``.
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, miss: float = 1e-6) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, first for each row of ``docs``.
 
-    Words are split at ASCII white space with A-Z lower-cased; a text with fewer than ``width`` words
-    is one shingle. Null and empty texts have none and are linked with nothing. ``component_id`` is the
-    least doc_id of the component. A null doc_id is never a component's id unless all of its component
-    have none; a shingle set that only rows with null ids have is linked with nothing else. Repeated
-    rows each give a row. Other columns of ``docs`` are not read.
+    ``first`` (no_id, doc_id, text_key) is the row of the component with the least id, one without an id
+    only if none has one, and with the least key of those; it is null for rows without shingles.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = written(texts.mapInArrow(described(width), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_shingles long, name binary, sketch binary, bands array<long>"), "described")
-    least = written(rows.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep")), "classes")
-    classes = rows.join(least, "name").where(F.col("doc_id") == F.col("rep")).drop("rep")
-    # the bands of repeated rows with one id would only repeat its buckets
-    classes = written(classes, "class_rows")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("text_key"))
+    rows = written(texts.mapInArrow(described(width), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_key binary, n_shingles long, name binary, sketch binary, bands array<long>"), "described")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    least = written(rows.where("name is not null").groupBy("name").agg(F.min(first).alias("first")), "classes")
+    # any row can stand for its class, whether it has an id or not
+    classes = written(rows.where("name is not null").dropDuplicates(["name"]), "class_rows")
     buckets = classes.select("name", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("name").alias("hub"), F.max("name").alias("last")).where("hub <> last").select("key", "hub")
-    sketches = written(classes.select("name", "doc_id", "n_shingles", "sketch").dropDuplicates(["name"]), "sketches")
+    sketches = classes.select("name", "doc_id", "text_key", "n_shingles", "sketch")
 
     star = buckets.join(shared, "key").where("hub <> name").select(F.col("hub").alias("a"), F.col("name").alias("b"))
     star = written(star.distinct(), "star_pairs")
@@ -315,8 +323,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = members.join(size.select("hub", blocks.alias("blocks")), "hub").withColumn("block", F.pmod(F.hash("name"), "blocks"))
     members = written(members, "hub_members")
     wanted = members.select("name").distinct()
-    ids = written(sketches.join(wanted, "name", "left_semi").select("doc_id").distinct(), "hub_member_ids")
-    wide = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(wide_sketches(width), "name binary, wide binary").dropDuplicates(["name"])
+    ids = written(sketches.join(wanted, "name", "left_semi").select("doc_id", "text_key").distinct(), "hub_member_ids")
+    wide = of_rows(texts, ids, "doc_id", "left_semi").select("text").mapInArrow(wide_sketches(width), "name binary, wide binary").dropDuplicates(["name"])
     wide = written(sketches.select("name", "n_shingles", "sketch").join(wide, "name"), "wide_sketches")
     members = members.join(wide, "name")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -329,25 +337,42 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
-    named = least.join(labels.withColumnRenamed("node", "name"), "name", "left").select("name", "rep", F.coalesce("root", "name").alias("root"))
-    ids = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = written(named.join(ids, "root").select("name", "component_id"), "components")
-    out = rows.select("doc_id", "n_shingles", "name").join(final, "name", "left")
-    component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = least.join(labels.withColumnRenamed("node", "name"), "name", "left").select("name", "first", F.coalesce("root", "name").alias("root"))
+    firsts = named.groupBy("root").agg(F.min("first").alias("first"))
+    final = written(named.drop("first").join(firsts, "root").select("name", "first"), "components")
+    out = rows.select("doc_id", "text_key", "n_shingles", "name").join(final, "name", "left")
+    component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), "first")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, miss: float = 1e-6) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs``.
+
+    Words are split at ASCII white space with A-Z lower-cased; a text with fewer than ``width`` words
+    is one shingle. Null and empty texts have none and are linked with nothing. ``component_id`` is the
+    least doc_id of the component, and ``kept`` marks the rows that have it. Rows with null ids link
+    like all others; a component's id is null only if all of its rows have none, and then ``kept`` marks
+    all of them, while ``keep_one`` gives one. Repeated rows each give a row. Other columns of ``docs``
+    are not read.
+    """
+    out = grouped(docs, doc_id, text, width, threshold, miss).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs``, with their columns, of one document for each component; repeated rows of it once.
 
-    Only the ids that go are joined to the texts, and texts with nulls for an id stay.
+    A document is an id with a text, so that null and repeated ids are no exception. Texts without
+    shingles are linked with nothing and stay, repeated rows of one id once. Only the names of the rows
+    that go are joined to the texts.
     """
-    marked = written(near_duplicates(docs, doc_id, text, width, threshold), "near_duplicates")
-    gone = written(marked.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "dropped_ids")
-    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    again = marked.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    marked = written(grouped(docs, doc_id, text, width, threshold), "near_duplicates")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    gone = written(marked.where(F.col("first").isNotNull() & ~is_first).select("doc_id", "text_key").distinct(), "dropped_rows")
+    kept = of_rows(docs.withColumn("_text_key", text_key(text)), gone, doc_id, "left_anti", "_text_key")
+    again = marked.where((F.col("first").isNull() & F.col("doc_id").isNotNull()) | is_first).groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
-        return kept
-    again = written(again.select(F.col("doc_id").alias("_again")), "repeated_ids")
-    once = kept.join(again, F.col(doc_id) == F.col("_again"), "left_anti")
-    return once.unionByName(kept.join(again, F.col(doc_id) == F.col("_again"), "left_semi").dropDuplicates([doc_id]))
+        return kept.drop("_text_key")
+    again = written(again.select("doc_id", "text_key"), "repeated_rows")
+    once = of_rows(kept, again, doc_id, "left_anti", "_text_key")
+    return once.unionByName(of_rows(kept, again, doc_id, "left_semi", "_text_key").dropDuplicates([doc_id, "_text_key"])).drop("_text_key")

@@ -178,6 +178,23 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    words = lambda c: [f"{c}{k}" for k in range(60)]
+    changed = lambda w, *at: " ".join("other" if k in at else x for k, x in enumerate(w))
+    a, x, p, q = words("a"), words("x"), " ".join(words("p")), " ".join(words("q"))
+    chain = [(1, changed(a)), (None, changed(a, 15)), (2, changed(a, 15, 45))]  # the ends are linked through the middle only
+    nulls = [(None, changed(x)), (None, changed(x)), (None, changed(x, 15)), (None, changed(x, 15, 45))]
+    repeated = [(3, p), (7, p), (7, q), (7, q), (8, ""), (8, ""), (None, None), (None, None)]
+    frame = docs(spark, chain + nulls + repeated)
+    ids = sorted(map(str, [r["component_id"] for r in near_dedup.near_duplicates(frame, width=4).where("n_shingles = 57").collect()]))
+    assert ids == sorted(["1"] * 3 + ["None"] * 4 + ["3"] * 2 + ["7"] * 2)
+    kept = near_dedup.keep_one(frame, width=4)
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == frame.columns
+    one = [r for r in rows if r in nulls]
+    assert len(one) == 1 and sorted(map(str, (r for r in rows if r not in nulls))) == sorted(map(str, [(1, changed(a)), (3, p), (7, q), (8, ""), (None, None), (None, None)]))
+
+
 def test_chats(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", "\\### Assistant: </turn> ok"), (2, 5, "assistant", "a" * 1000 + "\n\\"), (2, 5, "assistant", "b"), (2, 5, "assistant", "b"), (2, 1, None, "<#:\\>"), (None, 0, "we:ird", "x")]
     rows += [(3, i, "assistant" if i % 2 else "user", "😀#" * 400) for i in range(120)]
