@@ -105,8 +105,12 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     return checked.where(F.col("common") * 100 >= F.col("item_shingles") * percent).select("doc_id", "item_id", "size_class", "item_shingles", "common").distinct()
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with their columns, that hold no item; rows with a null id stay."""
-    bad = contained(docs, items, doc_id, text, width=width, percent=percent).select(F.col("doc_id").alias("_holds_item"))
-    bad = written(bad.where("_holds_item is not null").distinct(), "contaminated_ids")
-    return docs.join(bad, F.col(doc_id) == F.col("_holds_item"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with their columns, that hold no item.
+
+    Rows are not joined by an id, which may be null or repeated: a text that holds an item is known by its hash.
+    """
+    named = docs.withColumn("_text_hash", F.sha2(F.col(text), 256))
+    bad = contained(named, items, "_text_hash", text, width=width, percent=percent).select(F.col("doc_id").alias("_text_hash"))
+    bad = written(bad.distinct(), "contaminated_texts")
+    return named.join(bad, "_text_hash", "left_anti").drop("_text_hash")

@@ -117,6 +117,15 @@ def test_decontamination(spark):
     assert decontamination.contained(frame, items.limit(0)).count() == 0 and decontamination.contained(docs(spark, []), items).count() == 0
 
 
+def test_contaminated_rows_go_whatever_their_id(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    frame = docs(spark, [(None, f"a {item} b"), (None, "clean"), (5, item), (5, "clean too"), (6, None)])
+    kept = decontamination.drop_contaminated(frame, items)
+    assert kept.columns == frame.columns
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(None, "clean"), (5, "clean too"), (6, None)}
+
+
 def test_archives(spark, tmp_path):
     html = ["same", "same", None, "", "<p>é\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n</p>", "big " * 20_000, "same"]
     rows = [(i, None if i == 1 else f"http://x.org/{i}\r\n é", h) for i, h in enumerate(html)] + [(6, "http://x.org/6", "same"), (None, "u", "same")]
