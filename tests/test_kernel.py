@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 import pytest
@@ -78,6 +81,52 @@ def test_sections_and_changes(spark):
     assert [tuple(r) for r in documents.section_changes(old, new).collect()] == [("1/two#2", "changed")]
 
 
+def brute_sections(html):
+    """One page's sections, a heading at a time."""
+    volatile = "script|style|noscript|svg|template|footer|time"
+    clean = next((m[0] for tag in ("main", "article", "body") if (m := re.search(rf"<{tag}\b.*</{tag}\s*>", html, re.I | re.S))), html)
+    for pattern in (r"<!--.*?-->", rf"<({volatile})\b.*?</\1\s*>", rf"</?({volatile})\b[^>]*>"):
+        clean = re.sub(pattern, " ", clean, flags=re.I | re.S)
+    names = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+
+    def entity(m):
+        name = m[1]
+        if name[0] == "#":
+            digits = name[2:] if name[1] == "x" else re.match(r"\d*", name[1:])[0]
+            return chr(int(digits, 16 if name[1] == "x" else 10)) if digits else m[0]
+        return names.get(name.lower(), m[0])
+
+    plain = lambda x: " ".join(re.sub(r"&(#x?[0-9a-fA-F]+|[a-zA-Z]+);", entity, re.sub(r"<[^>]*>", " ", x)).split())
+    found, seen, out = list(re.finditer(r"<h[1-3]\b[^>]*>.*?</h[1-3]\s*>", clean, re.I | re.S)), {}, []
+    for i in range(len(found) + 1):
+        head = found[i - 1] if i else None
+        body = plain(clean[head.end() if head else 0 : found[i].start() if i < len(found) else len(clean)])
+        if head is None and not body:
+            continue
+        name = "__intro__" if head is None else re.sub("[^a-z0-9]+", "-", plain(head[0]).lower()).strip("-")[:80] or "untitled"
+        seen[name] = n = seen.get(name, 0) + (head is not None)
+        out.append((name if n < 2 else f"{name}#{n}", hashlib.sha256(((plain(head[0]) + "\n" if head else "") + body).encode()).hexdigest()))
+    return out
+
+
+def test_sections_against_brute_force(spark):
+    pages = [
+        "<main>only an intro</main><h1>outside</h1>", "no tags", "", "<body> <p> </p></body>", "<article>intro <h2 id=a>One</h2>x</article>",
+        "<body><!-- <h1>hidden</h1> -->a<script>'<h2>no</h2>'</script><h1>&amp;lt; R&#38;D &#x41;&nbsp;&bogus; &#1f; &#f;</h1>b<time>1:00</time><footer>f</footer></body>",
+        "<h1>???</h1>x<h1></h1>y<h3>untitled</h3>z<svg><text>s</text></svg><noscript>n</noscript>", "<h2>a</h2>1<template><h2>t</h2></template><h2>A</h2>2<h2>open <h3>b</h3>3<header>h</header>",
+        "<h1>😀 &#128512; &#x1F600;</h1>&LT;&#160;end", "<main></main><article>left out</article>",
+    ]
+    frame = spark.createDataFrame([*enumerate(pages), (99, None)], "page_id long, html string")
+    found = {}
+    for r in documents.sections(frame).orderBy("page_id", "position").collect():
+        found.setdefault(r["page_id"], []).append((r["slug"], r["hash"]))
+    assert found == {i: x for i, html in enumerate(pages) if (x := brute_sections(html))} and found[0][0][0] == "__intro__"
+    odd = spark.createDataFrame([(1, "<h1>&#1114112;&#xD800;&#99999999999999999999;&#xFFFFFFFFFFFFFFFFFFFF;&#xFEFF;x</h1>")], "page_id long, html string")
+    assert documents.sections(odd).first()["hash"] == hashlib.sha256("&#1114112;\ufffd&#99999999999999999999;&#xFFFFFFFFFFFFFFFFFFFF; x\n".encode()).hexdigest()
+    edited = frame.withColumn("html", F.regexp_replace("html", "only an intro", "another"))
+    assert [tuple(r) for r in documents.section_changes(documents.sections(frame), documents.sections(edited)).collect()] == [("0/__intro__", "changed")]
+
+
 def test_versions(spark):
     at_least = lambda a, b: value(spark, inventory.version_at_least(F.lit(a), F.lit(b)))
     assert at_least("10.0.0", "9.9.9") and not at_least("9.9.8", "9.9.9") and at_least(None, "1.0.0")
