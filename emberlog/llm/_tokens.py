@@ -16,11 +16,12 @@ import numpy as np
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A space next to white space, or at an end: there the text is not cut.
 _UNEVEN = re.compile(r" (?:(?=\s)|(?<=\s )|\Z)")
-#: A Latin word and at most one sign: two pre-tokens, whose ids the BPE model gives directly.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?)")
+#: A Latin word and the signs after it: two pre-tokens, whose ids the BPE model gives directly.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Parts with one line break between them, which is then a pre-token.
 _BROKEN = re.compile(r"\S+(?:\n\S+)+")
-_LONGEST, _MOST = 48, 700_000
+#: Pieces that are remembered, by length and number: some 160 bytes each.
+_LONGEST, _MOST = 48, 400_000
 
 
 def default_tokenizer() -> str:
@@ -92,8 +93,13 @@ class Encoder:
         first, *rest = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
         return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        return [self.ids(x) for x in texts]
+    def __enter__(self) -> Encoder:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Free the pieces that are remembered: a worker outlives its tasks."""
+        self.first.clear()
+        self.rest.clear()
 
 
 @lru_cache(maxsize=2)

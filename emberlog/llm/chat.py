@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberlog.llm._store import small_batches, type_of, written
+from emberlog.llm._store import slices, type_of, written
 
 #: Operations of the log. ``start`` gives the role and begins an empty text, ``delta`` appends,
 #: ``edit`` replaces the text, ``regenerate`` empties it, ``remove`` takes the message away.
@@ -39,37 +39,59 @@ def unescape(text: str) -> str:
 
 
 def events_of(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", delta_chars: int = 200) -> DataFrame:
-    """The log of ``conversations`` with one row for each turn: a start and the text in deltas.
+    """A log of ``conversations`` with one row for each turn, as a client that streams, retries and edits would leave it.
 
-    conv_id, turn, copy, seq, operation, role, text. ``copy`` tells rows of one turn apart, in the
+    conv_id, turn, copy, seq, operation, role, text. Each message is a start and its text in deltas. Of
+    every four messages, by their hash, one is streamed as a draft and regenerated, one is sent with
+    its last delta cut and then edited to the whole text, one has each event delivered twice, and
+    one is followed by a message that is removed. ``copy`` tells rows of one turn apart, in the
     order of role and text; a null text has no delta and a null role is empty.
     """
     twins = W.partitionBy("conv_id", "turn").orderBy("role", "text")
     rows = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("copy", F.row_number().over(twins))
-    parts = F.expr(f"case when text = '' then array() else transform(sequence(0, (length(text) - 1) div {delta_chars}), i -> substr(text, i * {delta_chars} + 1, {delta_chars})) end")
-    rows = rows.withColumn("parts", F.concat(F.array(F.lit("")), parts))
-    rows = rows.select("conv_id", "turn", "copy", "role", F.posexplode("parts").alias("seq", "text"))
-    return rows.withColumn("operation", F.when(F.col("seq") == 0, "start").otherwise("delta"))
+    rows = rows.withColumn("copy", F.row_number().over(twins)).withColumn("kind", F.pmod(F.xxhash64("conv_id", "turn", "copy"), F.lit(4)).cast("int"))
+    event = lambda operation, text: F.struct(F.lit(0).alias("gone"), F.lit(operation).alias("operation"), text.alias("text"))
+    removed = lambda operation, text: F.struct(F.lit(1).alias("gone"), F.lit(operation).alias("operation"), F.lit(text).alias("text"))
+    places = F.when(F.col("text") == "", F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / delta_chars).cast("int")))
+    deltas = F.transform(places, lambda i: event("delta", F.substr("text", i * delta_chars + 1, F.lit(delta_chars))))
+    start = F.array(event("start", F.lit("")))
+    draft = F.array(event("delta", F.lit("a draft ")), event("delta", F.col("text")), event("regenerate", F.lit("")))
+    cut = F.when(F.size(deltas) > 1, F.slice(deltas, 1, F.size(deltas) - 1)).otherwise(F.array(event("delta", F.lit("..."))))
+    extra = F.array(removed("start", ""), removed("delta", "taken back"), removed("remove", ""))
+    events = (
+        F.when(F.col("kind") == 0, F.concat(start, draft, deltas))
+        .when(F.col("kind") == 1, F.concat(start, cut, F.array(event("edit", F.col("text")))))
+        .when(F.col("kind") == 2, F.concat(start, deltas))
+        .otherwise(F.concat(start, deltas, extra))
+    )
+    rows = rows.select("conv_id", "turn", "copy", "role", "kind", F.posexplode(events).alias("seq", "e"))
+    times = F.when(F.col("kind") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("time", F.explode(times))
+    # what is removed is a message of its own, with a copy below all others
+    copy = F.when(F.col("e.gone") == 1, -F.col("copy")).otherwise(F.col("copy")).alias("copy")
+    return rows.select("conv_id", "turn", copy, "seq", F.col("e.operation").alias("operation"), "role", F.col("e.text").alias("text"))
 
 
 def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """conv_id, turn, copy, role, text of each message of a sorted log."""
     names = ("conv_id", "turn", "copy", "role", "text")
-    key, role, parts, alive, schema = None, "", [], False, None
+    key, role, parts, alive, schema, last = None, "", [], False, None, None
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, schema, strict=True)], list(names))
 
-    for batch in batches:
+    for batch in slices(batches, "text"):
         schema = [batch.schema.field(c).type for c in names]
         out = []
-        for c, t, copy, operation, new_role, text in zip(*[batch.column(x).to_pylist() for x in ("conv_id", "turn", "copy", "operation", "role", "text")], strict=True):
+        for c, t, copy, seq, operation, new_role, text in zip(*[batch.column(x).to_pylist() for x in ("conv_id", "turn", "copy", "seq", "operation", "role", "text")], strict=True):
             if key != (c, t, copy):
                 if alive:
                     out.append((*key, role, "".join(parts)))
-                key, role, parts, alive = (c, t, copy), new_role or "", [], True
+                key, role, parts, alive, last = (c, t, copy), new_role or "", [], True, None
+            if seq is not None and seq == last:
+                continue  # delivered again
+            last = seq
             if operation == "delta":
                 parts.append(text or "")
             elif operation == "remove":
@@ -85,12 +107,14 @@ def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def reconstruct(events: DataFrame) -> DataFrame:
     """conv_id, turn, copy, role, text: the final messages of a log with the columns of ``events_of``.
 
-    Events of one message are taken by ``seq``; events with an equal ``seq`` by operation and text.
-    A message without a start begins with its first event; one that was removed last is gone.
+    Events of one message are taken by ``seq``. Of events of one message with an equal ``seq``, which are
+    deliveries of one event, the first by operation (in the order of ``OPERATIONS``) and text counts;
+    events without one come first and all count. A message without a start begins with its first event;
+    one that was removed last is gone. An empty log gives no messages; other columns are not read.
     """
-    small_batches(events.sparkSession)
     keys = ["conv_id", "turn", "copy"]
-    rows = events.select(*keys, "seq", "operation", "role", "text").repartition(*keys).sortWithinPartitions(*keys, "seq", "operation", "text")
+    rank = F.array_position(F.array(*[F.lit(x) for x in OPERATIONS]), F.col("operation"))
+    rows = events.select(*keys, "seq", "operation", "role", "text").repartition(*keys).sortWithinPartitions(*keys, "seq", rank, "text")
     return rows.mapInArrow(folded, f"conv_id {type_of(events, 'conv_id')}, turn {type_of(events, 'turn')}, copy int, role string, text string")
 
 
@@ -107,7 +131,7 @@ def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss_column = pa.array([[{"start": a, "end": b} for a, b in x] for x in columns[3]], spans)
         return pa.record_batch([pa.array(columns[0], id_type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), loss_column], ["conv_id", "part", "formatted", "loss"])
 
-    for batch in batches:
+    for batch in slices(batches, "text"):
         id_type, out = batch.schema.field("conv_id").type, []
         for c, role, text in zip(*[batch.column(x).to_pylist() for x in ("conv_id", "role", "text")], strict=True):
             if begun and (c != conv or chars >= SEGMENT_CHARS):
@@ -126,7 +150,6 @@ def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def render(messages: DataFrame) -> DataFrame:
     """conv_id, part, formatted, loss (spans of ``formatted``): one row for each conversation, or more for a long one."""
-    small_batches(messages.sparkSession)
     order = ["conv_id", "turn", "copy"]
     rows = messages.select(*order, "role", "text").repartition("conv_id").sortWithinPartitions(*order)
     return rows.mapInArrow(rendered, f"conv_id {type_of(messages, 'conv_id')}, part int, formatted string, loss {SPANS}")
@@ -146,7 +169,7 @@ def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row() -> tuple:
         return conv, turns, all_turns.hexdigest(), loss_chars, all_loss.hexdigest(), chars
 
-    for batch in batches:
+    for batch in slices(batches, "formatted"):
         id_type, out = batch.schema.field("conv_id").type, []
         for c, formatted, loss in zip(*[batch.column(x).to_pylist() for x in ("conv_id", "formatted", "loss")], strict=True):
             if begun and c != conv:
@@ -172,7 +195,6 @@ def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(segments: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of rendered conversations."""
-    small_batches(segments.sparkSession)
     rows = segments.repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return rows.mapInArrow(digested, f"conv_id {type_of(segments, 'conv_id')}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

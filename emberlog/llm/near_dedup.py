@@ -5,11 +5,14 @@ signature propose pairs; the signatures of a pair are compared batch by batch an
 once the posterior chance that its similarity reaches the threshold is under ``miss``; the pairs left
 are confirmed on their full shingle sets.
 
+A class is named by the least row number in it, a long, so that groups are aggregated in hash tables.
 A bucket of n classes never gives all its pairs. First each member meets the bucket's smallest one, its
 hub. Then the members of a hub are compared in blocks inside tasks, and only those that are still in
 different components, since links inside a component change nothing. A task gives out the pairs that
 pass the signature batches and one more, wider sketch; for texts of up to ``WIDE`` shingles this is the
 whole set, so what is given out grows with the links. No link between components is lost.
+
+Joins on a name, bucket, hub or root, which a third of all rows may share, divide such keys.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm._store import small_batches, written
-from emberlog.llm._words import ascii_words, mixed, shingles
+from emberlog.llm._store import free_name, marked_in, scratch, slices, spread_join, type_of, written
+from emberlog.llm._words import Shingles, mixed
 
 #: Bands and rows: a pair at similarity 0.8 shares no band with a chance of 8.5e-7.
 BANDS, ROWS = 46, 6
 HASHES = BANDS * ROWS
-#: Hashes in the wider sketch, and classes in one block of a hub.
-WIDE, BLOCK = 1024, 1024
+#: Hashes in the wider sketch, bytes of the members in one block of a hub, and members in a block of a hub of up to 8 blocks.
+WIDE, BLOCK_BYTES, BLOCK_MEMBERS = 1024, 12 << 20, 256
 _RNG = np.random.default_rng(77)
 _A = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -59,10 +62,11 @@ def set_name(s: np.ndarray) -> bytes:
 
 def described(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        shingles = Shingles(width)
+        for batch in slices(batches, "text"):
             counts, names, sketches, bands = [], [], [], []
             for text in batch.column("text").to_pylist():
-                s = shingles(ascii_words(text), width)
+                s = shingles.of(text)
                 counts.append(len(s))
                 sig = signature(s) if len(s) else None
                 names.append(set_name(s) if len(s) else None)
@@ -75,10 +79,25 @@ def described(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def full_sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """class_id and the shingles of texts; rows of one class are alike."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(ascii_words(t), width) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([pa.array([set_name(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "shingles"])
+        shingles = Shingles(width)
+        for batch in slices(batches, "text"):
+            sets = [shingles.of(t).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("class_id"), pa.array(sets, pa.binary())], ["class_id", "shingles"])
+
+    return run
+
+
+def wide_sketches(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """class_id and the least ``WIDE`` values, cut to 32 bits, of the shingle sets of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for batch in slices(batches, "text"):
+            wide = [np.unique((shingles.of(t) >> np.uint64(32)).astype(np.uint32))[:WIDE].tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("class_id"), pa.array(wide, pa.binary())], ["class_id", "wide"])
 
     return run
 
@@ -116,18 +135,6 @@ def least_common(n: int, threshold: float, miss: float) -> int:
     return low
 
 
-def wide_sketches(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The least ``WIDE`` values, cut to 32 bits, of each shingle set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(ascii_words(t), width) for t in batch.column("text").to_pylist()]
-            wide = [np.unique((s >> np.uint64(32)).astype(np.uint32))[:WIDE].tobytes() for s in sets]
-            yield pa.record_batch([pa.array([set_name(s) for s in sets], pa.binary()), pa.array(wide, pa.binary())], ["name", "wide"])
-
-    return run
-
-
 def may_link(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int, threshold: float, miss: float) -> bool:
     """Whether two wide sketches, of sets of ``n_x`` and ``n_y`` shingles, leave the threshold possible.
 
@@ -172,16 +179,15 @@ def block_pairs(threshold: float, miss: float) -> Callable[[Iterator[pa.RecordBa
     """
     percent = round(100 * threshold)
 
-    def compared(rows: pa.Table) -> Iterator[tuple[bytes, bytes]]:
-        name, wide = (rows.column(c).to_pylist() for c in ("name", "wide"))
-        part = np.unique(np.array(rows.column("part").to_pylist(), object), return_inverse=True)[1]
-        n = rows.column("n_shingles").to_numpy()
+    def compared(rows: pa.Table) -> Iterator[tuple[int, int]]:
+        name, part, n, block = (rows.column(c).to_numpy() for c in ("class_id", "part", "n_shingles", "block"))
+        wide = rows.column("wide").combine_chunks()
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
-        x, y, block = rows.column("x")[0].as_py(), rows.column("y")[0].as_py(), rows.column("block").to_numpy()
+        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         needed = least_matches(threshold, miss)
-        for k in range(0, len(left), 64):
-            some = left[k : k + 64]
+        for k in range(0, len(left), 16):
+            some = left[k : k + 16]
             i, j = np.repeat(some, len(right)), np.tile(right, len(some))
             alive = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             if x == y:
@@ -193,14 +199,14 @@ def block_pairs(threshold: float, miss: float) -> Callable[[Iterator[pa.RecordBa
                 alive, before = matches >= least, upto
                 i, j, matches = i[alive], j[alive], matches[alive]
             for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                if may_link(np.frombuffer(wide[p], np.uint32), np.frombuffer(wide[q], np.uint32), int(n[p]), int(n[q]), threshold, miss):
+                if may_link(np.frombuffer(wide[p].as_buffer(), np.uint32), np.frombuffer(wide[q].as_buffer(), np.uint32), int(n[p]), int(n[q]), threshold, miss):
                     yield min(name[p], name[q]), max(name[p], name[q])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs_of(batches, ["hub", "x", "y"]):
             found = list(compared(rows))
             if found:
-                yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["a", "b"])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
@@ -238,111 +244,145 @@ def confirmed(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float, miss: float) -> DataFrame:
-    """The pairs (a, b) of class names that are links, signatures first. classes: name, doc_id, text_key, n_shingles, sketch; texts: doc_id, text, text_key."""
-    side = lambda c: classes.select(F.col("name").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(100 * threshold))
-    left = written(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(surviving(threshold, miss), "a binary, b binary"), "surviving_pairs")
-    return exact(left, classes, texts, width, threshold)
-
-
 def text_key(text: str) -> Column:
     """A 256-bit name of a text: with the id it tells rows apart, also without or with repeated ids."""
     return F.unhex(F.sha2(F.col(text), 256))
 
 
 def of_rows(texts: DataFrame, rows: DataFrame, doc_id: str, how: str, key: str = "text_key") -> DataFrame:
-    """``texts`` joined to the (doc_id, text_key) of ``rows``; a null id is an id."""
-    rows = rows.select(F.col("doc_id").alias("_row_id"), F.col("text_key").alias("_row_key"))
-    return texts.join(rows, F.col(doc_id).eqNullSafe(F.col("_row_id")) & F.col(key).eqNullSafe(F.col("_row_key")), how)
+    """``texts`` joined to the (doc_id, text_key) of ``rows``; a null id is an id.
+
+    Only texts that ``rows`` may name are shuffled.
+    """
+    row_id, row_key, maybe = free_name(texts, "_row_id"), free_name(texts, "_row_key"), free_name(texts, "_maybe")
+    rows = rows.withColumnsRenamed({"doc_id": row_id, "text_key": row_key})
+    marked = marked_in(texts, [F.col(doc_id), F.col(key)], rows, [F.col(row_id), F.col(row_key)], maybe)
+    some = marked.where(maybe).drop(maybe)
+    out = some.join(rows, some[doc_id].eqNullSafe(rows[row_id]) & some[key].eqNullSafe(rows[row_key]), how)
+    if how == "left_anti":
+        return marked.where(~F.col(maybe)).drop(maybe).unionByName(out)
+    return out if how == "left_semi" else out.drop(row_id, row_key)
 
 
-def exact(left: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of ``left`` that are links on their full sets."""
-    names = left.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    ids = written(classes.join(names, "name", "left_semi").select("doc_id", "text_key").distinct(), "surviving_ids")
-    sets = of_rows(texts, ids, "doc_id", "left_semi").select("text").mapInArrow(full_sets(width), "name binary, shingles binary")
-    sets = written(sets.where("name is not null").join(names, "name", "left_semi").dropDuplicates(["name"]), "surviving_sets")
-    side = lambda c: sets.select(F.col("name").alias(c), F.col("shingles").alias(f"set_{c}"))
-    return left.join(side("a"), "a").join(side("b"), "b").mapInArrow(confirmed(threshold), "a binary, b binary")
+class Job:
+    """The tables and parameters that the steps of one run share.
 
+    classes: class_id, doc_id, text_key, n_shingles, sketch, bands of a row for each class; texts: doc_id, text, text_key.
+    """
 
-def components(links: DataFrame) -> DataFrame:
+    def __init__(self, classes: DataFrame, texts: DataFrame, width: int, threshold: float, miss: float, keep: Callable[..., DataFrame]):
+        self.classes, self.texts, self.width, self.threshold, self.miss, self.keep = classes, texts, width, threshold, miss, keep
+
+    def texts_of(self, ids: DataFrame) -> DataFrame:
+        """class_id, text of the classes named in ``ids``; a row that is there twice gives its text twice."""
+        rows = self.keep(self.classes.join(ids, "class_id", "left_semi").select("class_id", "doc_id", "text_key"), "class_texts")
+        return of_rows(self.texts, rows, "doc_id", "inner").select("class_id", "text")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The ``pairs`` (a, b) that are links, signatures first. Many pairs can share an ``a``, few a ``b``."""
+        side = lambda c: self.classes.select(F.col("class_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+        both = spread_join(pairs, side("a").join(pairs.select("a").distinct(), "a", "left_semi"), "a", "b").join(side("b"), "b")
+        both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(100 * self.threshold))
+        rows = both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(surviving(self.threshold, self.miss), "a long, b long")
+        return self.exact(self.keep(rows, "surviving_pairs"))
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """The ``pairs`` (a, b) that are links on their full sets."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+        sets = self.texts_of(ids).mapInArrow(full_sets(self.width), "class_id long, shingles binary")
+        sets = self.keep(sets.dropDuplicates(["class_id"]), "surviving_sets")
+        side = lambda c: sets.select(F.col("class_id").alias(c), F.col("shingles").alias(f"set_{c}"))
+        both = spread_join(pairs, side("a"), "a", "b").join(side("b"), "b")
+        return both.mapInArrow(confirmed(self.threshold), "a long, b long")
+
+    def cross_pairs(self, star: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs of the members of each hub of ``star`` (a hub, b member) that are in different components and may be links.
+
+        The blocks of a hub are as many as its bytes ask for, and each pair of blocks is one key.
+        """
+        keep = self.keep
+        part = F.coalesce("root", "b").alias("part")
+        members = star.join(labels.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("hub"), F.col("b").alias("class_id"), part)
+        members = keep(members.join(self.classes.select("class_id", "n_shingles"), "class_id"), "members")
+        size = HASHES + 64 + 4 * F.least("n_shingles", F.lit(WIDE))
+        hubs = members.groupBy("hub").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last")
+        # as few blocks as memory allows, but some, so that a hub is not one task
+        blocks = F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.least(F.ceil(F.col("n") / BLOCK_MEMBERS), F.lit(8)))
+        hubs = hubs.select("hub", blocks.cast("int").alias("blocks"))
+        members = spread_join(members, hubs, "hub", "class_id").withColumn("block", F.pmod(F.hash("class_id"), "blocks"))
+        members = keep(members, "hub_members")
+        wide = self.texts_of(members.select("class_id").distinct()).mapInArrow(wide_sketches(self.width), "class_id long, wide binary").dropDuplicates(["class_id"])
+        wide = keep(self.classes.select("class_id", "sketch").join(wide, "class_id"), "wide_sketches")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        members = members.join(wide, "class_id").select("hub", "class_id", "part", "n_shingles", "sketch", "wide", "block", other)
+        members = members.select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).drop("other")
+        pairs = members.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(block_pairs(self.threshold, self.miss), "a long, b long")
+        return keep(pairs.distinct().join(star, ["a", "b"], "left_anti"), "cross_pairs")
+
+
+def components(links: DataFrame, keep: Callable[..., DataFrame]) -> DataFrame:
     """node, root for each node of ``links`` (a, b): the least node that it can reach.
 
     Each round hooks every node to its least neighbour, follows the hooks to their ends by doubling,
     and goes on with the links between those ends. A round at least halves the nodes.
     """
-    edges = written(links.select("a", "b").where("a <> b"), "edges")
-    labels = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "labels")
+    edges = keep(links.select("a", "b").where("a <> b"), "edges")
+    labels = keep(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "labels")
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        up = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "hooks")
+        up = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "hooks")
         while True:
             over = up.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            up2 = written(up.join(over, "to").select("node", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")), "hooks")
-            moved = not up2.where("moved").isEmpty()
-            up = up2.select("node", "to")
-            if not moved:
+            moved = spread_join(up, over, "to", "node").select("node", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved"))
+            up = keep(moved, "hooks")
+            if up.where("moved").isEmpty():
                 break
+            up = up.drop("moved")
         step = up.select(F.col("node").alias("root"), F.col("to"))
-        labels = written(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        labels = keep(spread_join(labels, step, "root", "node", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
         end = lambda c: up.select(F.col("node").alias(c), F.col("to").alias(f"end_{c}"))
-        moved = edges.join(end("a"), "a").join(end("b"), "b").where("end_a <> end_b")
-        edges = written(moved.select(F.col("end_a").alias("a"), F.col("end_b").alias("b")).distinct(), "edges")
+        moved = spread_join(edges, end("a"), "a", "b").join(end("b"), "b").where("end_a <> end_b")
+        edges = keep(moved.select(F.col("end_a").alias("a"), F.col("end_b").alias("b")).distinct(), "edges")
     return labels
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, miss: float = 1e-6) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id, first for each row of ``docs``.
+    """row, doc_id, text_key, n_shingles, root, component_id for each row of ``docs``, as a written table.
 
-    ``first`` (no_id, doc_id, text_key) is the row of the component with the least id, one without an id
-    only if none has one, and with the least key of those; it is null for rows without shingles.
+    ``root`` names the component and is null for rows without shingles; ``component_id`` is the least
+    doc_id in it, null only if all of its rows have none, and the own doc_id without shingles.
     """
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("text_key"))
-    rows = written(texts.mapInArrow(described(width), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_key binary, n_shingles long, name binary, sketch binary, bands array<long>"), "described")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    least = written(rows.where("name is not null").groupBy("name").agg(F.min(first).alias("first")), "classes")
-    # any row can stand for its class, whether it has an id or not
-    classes = written(rows.where("name is not null").dropDuplicates(["name"]), "class_rows")
-    buckets = classes.select("name", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("name").alias("hub"), F.max("name").alias("last")).where("hub <> last").select("key", "hub")
-    sketches = classes.select("name", "doc_id", "text_key", "n_shingles", "sketch")
-
-    star = buckets.join(shared, "key").where("hub <> name").select(F.col("hub").alias("a"), F.col("name").alias("b"))
-    star = written(star.distinct(), "star_pairs")
-    links = written(verified(star, sketches, texts, width, threshold, miss), "star_links")
-    labels = components(links)
-
-    members = star.select(F.col("a").alias("hub"), F.col("b").alias("name"))
-    members = members.join(labels.withColumnRenamed("node", "name"), "name", "left").select("hub", "name", F.coalesce("root", "name").alias("part"))
-    size = members.groupBy("hub").agg(F.count("*").alias("n"), F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = members.join(size.select("hub", blocks.alias("blocks")), "hub").withColumn("block", F.pmod(F.hash("name"), "blocks"))
-    members = written(members, "hub_members")
-    wanted = members.select("name").distinct()
-    ids = written(sketches.join(wanted, "name", "left_semi").select("doc_id", "text_key").distinct(), "hub_member_ids")
-    wide = of_rows(texts, ids, "doc_id", "left_semi").select("text").mapInArrow(wide_sketches(width), "name binary, wide binary").dropDuplicates(["name"])
-    wide = written(sketches.select("name", "n_shingles", "sketch").join(wide, "name"), "wide_sketches")
-    members = members.join(wide, "name")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    members = members.select("hub", "name", "part", "n_shingles", "sketch", "wide", "block", other)
-    members = members.select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).drop("other")
-    pairs = members.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(block_pairs(threshold, miss), "a binary, b binary")
-    pairs = written(pairs.distinct().join(star, ["a", "b"], "left_anti"), "cross_pairs")
-    if not pairs.isEmpty():
-        more = written(exact(pairs, sketches, texts, width, threshold), "cross_links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
-
-    named = least.join(labels.withColumnRenamed("node", "name"), "name", "left").select("name", "first", F.coalesce("root", "name").alias("root"))
-    firsts = named.groupBy("root").agg(F.min("first").alias("first"))
-    final = written(named.drop("first").join(firsts, "root").select("name", "first"), "components")
-    out = rows.select("doc_id", "text_key", "n_shingles", "name").join(final, "name", "left")
-    component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
-    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), "first")
+    with scratch(docs.sparkSession) as keep:
+        texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("text_key"))
+        schema = f"doc_id {type_of(docs, doc_id)}, text_key binary, n_shingles long, name binary, sketch binary, bands array<long>"
+        rows = keep(texts.mapInArrow(described(width), schema).withColumn("row", F.monotonically_increasing_id()), "described")
+        # the least row of a class gives it its number, and stands for it whether it has an id or not
+        names = rows.where("name is not null").groupBy("name").agg(F.min("row").alias("class_id"), F.min("doc_id").alias("least_id"))
+        names = keep(names, "classes")
+        first = names.select(F.col("class_id").alias("row"))
+        classes = rows.join(first, "row", "left_semi").withColumnRenamed("row", "class_id").drop("name")
+        job = Job(keep(classes, "class_rows"), texts, width, threshold, miss, keep)
+
+        buckets = keep(job.classes.select("class_id", F.explode("bands").alias("key")), "buckets")
+        shared = buckets.groupBy("key").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).where("hub <> last").select("key", "hub")
+        star = spread_join(buckets, shared, "key", "class_id").where("hub <> class_id").select(F.col("hub").alias("a"), F.col("class_id").alias("b"))
+        star = keep(star.distinct(), "star_pairs")
+        links = keep(job.verified(star), "star_links")
+        labels = components(links, keep)
+        pairs = job.cross_pairs(star, labels)
+        if not pairs.isEmpty():
+            more = keep(job.exact(pairs), "cross_links")
+            if not more.isEmpty():
+                labels = components(links.unionByName(more), keep)
+
+        # classes without a link are their own components
+        linked = keep(names.select("class_id", "least_id").join(labels.withColumnRenamed("node", "class_id"), "class_id"), "linked_classes")
+        least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        linked = keep(spread_join(linked, least, "root", "class_id").select("class_id", "root", "component_id"), "components")
+        final = names.join(linked, "class_id", "left").select("name", F.coalesce("root", "class_id").alias("root"), F.coalesce("component_id", F.when(F.col("root").isNull(), F.col("least_id"))).alias("component_id"))
+        out = spread_join(rows.select("row", "doc_id", "text_key", "n_shingles", "name"), final, "name", "row", "left")
+        component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        return written(out.select("row", "doc_id", "text_key", "n_shingles", "root", component), "near_duplicates")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, miss: float = 1e-6) -> DataFrame:
@@ -362,17 +402,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs``, with their columns, of one document for each component; repeated rows of it once.
 
-    A document is an id with a text, so that null and repeated ids are no exception. Texts without
-    shingles are linked with nothing and stay, repeated rows of one id once. Only the names of the rows
-    that go are joined to the texts.
+    A document is an id with a text, so that null and repeated ids are no exception: of the rows with
+    the component's id one is chosen, and rows equal to it in id and text are repeats. Texts without
+    shingles are linked with nothing and stay, repeated rows of one id once. An empty table gives an
+    empty one. Columns of ``docs`` may have any names. Only the names of the rows that go are joined to the texts.
     """
-    marked = written(grouped(docs, doc_id, text, width, threshold), "near_duplicates")
-    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
-    gone = written(marked.where(F.col("first").isNotNull() & ~is_first).select("doc_id", "text_key").distinct(), "dropped_rows")
-    kept = of_rows(docs.withColumn("_text_key", text_key(text)), gone, doc_id, "left_anti", "_text_key")
-    again = marked.where((F.col("first").isNull() & F.col("doc_id").isNotNull()) | is_first).groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
+    marked = grouped(docs, doc_id, text, width, threshold)
+    own = marked.where(F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = own.groupBy("root").agg(F.min("row").alias("row"))
+    firsts = written(marked.join(chosen.select("row"), "row", "left_semi").select("root", F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key")), "chosen_rows")
+    both = spread_join(marked.where("root is not null"), firsts, "root", "row")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
+    gone = written(both.where(~is_first).select("doc_id", "text_key").distinct(), "dropped_rows")
+    key = free_name(docs, "_text_key")
+    kept = of_rows(docs.withColumn(key, text_key(text)), gone, doc_id, "left_anti", key)
+    left = of_rows(marked.where(F.col("root").isNotNull() | F.col("doc_id").isNotNull()), gone, "doc_id", "left_anti")
+    again = written(left.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key"), "repeated_rows")
     if again.isEmpty():
-        return kept.drop("_text_key")
-    again = written(again.select("doc_id", "text_key"), "repeated_rows")
-    once = of_rows(kept, again, doc_id, "left_anti", "_text_key")
-    return once.unionByName(of_rows(kept, again, doc_id, "left_semi", "_text_key").dropDuplicates([doc_id, "_text_key"])).drop("_text_key")
+        return kept.drop(key)
+    once = of_rows(kept, again, doc_id, "left_anti", key)
+    return once.unionByName(of_rows(kept, again, doc_id, "left_semi", key).dropDuplicates([doc_id, key])).drop(key)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberlog.llm._store import new_path, running_starts, small_batches, type_of
+from emberlog.llm._store import new_path, running_starts, slices, type_of, written
 from emberlog.llm._tokens import default_tokenizer, encoder
 
 #: Fixed values of the seekable format.
@@ -98,14 +98,15 @@ class TokenFile:
 def files(tokenizer: str, end_id: int, file_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, docs, end = TaskContext.get().partitionId(), 0, 0, [], end_id.to_bytes(4, "little")
-        ids_of = encoder(tokenizer)
-        for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of.batch(batch.column("text").to_pylist()), strict=True):
-                docs.append((doc_id, ids + end))
-                held += len(ids) // 4 + 1
-                if held >= file_tokens:
-                    yield pa.record_batch([pa.array([file_bytes(part, number, docs)], pa.binary())], ["file"])
-                    number, held, docs = number + 1, 0, []
+        with encoder(tokenizer) as known:
+            for batch in slices(batches, "text"):
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    ids = known.ids(text)
+                    docs.append((doc_id, ids + end))
+                    held += len(ids) // 4 + 1
+                    if held >= file_tokens:
+                        yield pa.record_batch([pa.array([file_bytes(part, number, docs)], pa.binary())], ["file"])
+                        number, held, docs = number + 1, 0, []
         if docs:
             yield pa.record_batch([pa.array([file_bytes(part, number, docs)], pa.binary())], ["file"])
 
@@ -118,7 +119,6 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     Texts are dealt out by ranges of doc_id and encoded in order. A file has ``file_tokens`` ids or one
     document more; its bytes are one record for Spark's text sink, so commits and retries are Spark's.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     made = rows.mapInArrow(files(tokenizer or default_tokenizer(), end_id, file_tokens), "file binary")
@@ -126,9 +126,9 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     sink.option("lineSep", TAIL.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
-def opened(spark: SparkSession, path: str) -> DataFrame:
-    """content of each file under ``path``; empty parts are left out."""
-    return spark.read.format("binaryFile").load(path).where("length > 9").select("content")
+def opened(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, content of each file under ``paths``; empty parts are left out."""
+    return spark.read.format("binaryFile").load(list(paths)).where("length > 9").select("path", "content")
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,23 +146,13 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [TokenFile(data.as_buffer()) for data in batch.column("content")]
-        columns = [pa.array([f.part for f in found], pa.int32()), pa.array([f.number for f in found], pa.int32()), pa.array([int(f.index["tokens"].sum()) for f in found], pa.int64())]
-        yield pa.record_batch(columns, ["part", "number", "total"])
-
-
-def one_file_batches(spark: SparkSession) -> None:
-    """Files are read a few at a time: each is a row of some MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-
-
 def describe(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document of the files under ``path``, read from the frames."""
-    one_file_batches(spark)
-    rows = opened(spark, path).mapInArrow(digests, "part int, number int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
-    sizes = opened(spark, path).mapInArrow(totals, "part int, number int, total long")
+    """doc_id, start, n_tokens, ids_crc32 of each document of the files under ``path``, read from the frames.
+
+    The files are read once: their sizes come from the narrow rows, which are written first.
+    """
+    rows = written(opened(spark, path).select("content").mapInArrow(digests, "part int, number int, doc_id long, local_start long, n_tokens long, ids_crc32 long"), "token_digests")
+    sizes = rows.groupBy("part", "number").agg(F.sum("n_tokens").alias("total"))
     parts = running_starts(sizes.groupBy("part").agg(F.sum("total").alias("part_total")), "part", "part_total").select("part", "base")
     before = W.partitionBy("part").orderBy("number").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0)))
@@ -170,10 +160,35 @@ def describe(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(bases, ["part", "number"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        known = [x["doc_id"][x["known"] == 1] for x in (TokenFile(data.as_buffer()).index for data in batch.column("content"))]
+        ends = [(int(x.min()), int(x.max())) if len(x) else (None, None) for x in known]
+        columns = [batch.column("path"), *[pa.array([e[k] for e in ends], pa.int64()) for k in range(2)]]
+        yield pa.record_batch(columns, ["path", "first_id", "last_id"])
+
+
+def index_of(spark: SparkSession, path: str) -> DataFrame:
+    """path, first_id, last_id of each file under ``path``: made once, beside the files, in a folder that readers pass over."""
+    place = f"{path.rstrip('/')}/_index"
+    schema = "path string, first_id long, last_id long"
+    opened(spark, path).mapInArrow(ranges, schema).write.mode("ignore").parquet(place)
+    return spark.read.schema(schema).parquet(place)
+
+
 def read(spark: SparkSession, path: str, doc_ids: Iterable[int] | None = None) -> DataFrame:
-    """doc_id, ids (array<int>) of the documents asked for, or of all; frames without one are not decompressed."""
-    one_file_batches(spark)
+    """doc_id, ids (array<int>) of the documents asked for, or of all.
+
+    Files whose range holds none of ``doc_ids`` are not opened, and frames without one are not decompressed.
+    """
     wanted = None if doc_ids is None else set(doc_ids)
+    paths = [path]
+    if wanted is not None:
+        asked = spark.createDataFrame([(i,) for i in sorted(wanted)], "id long")
+        found = index_of(spark, path).join(F.broadcast(asked), F.col("id").between(F.col("first_id"), F.col("last_id")), "left_semi")
+        paths = [r["path"] for r in found.collect()]  # as many as the documents asked for, more only where ids are repeated
+        if not paths:
+            return spark.createDataFrame([], "doc_id long, ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +198,7 @@ def read(spark: SparkSession, path: str, doc_ids: Iterable[int] | None = None) -
                 ids = [int(x["doc_id"]) if x["known"] else None for x, _ in rows]
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return opened(spark, path).mapInArrow(run, "doc_id long, ids array<int>")
+    return opened(spark, *paths).select("content").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 2, path: str | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm._store import new_path, small_batches, type_of, written
+from emberlog.llm._store import SLICE_BYTES, new_path, slices, spread_join, type_of, written
 
 #: A gzip member without content.
 EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" + "0300" + "00000000" + "00000000")
@@ -47,10 +47,12 @@ def revisits(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
     The row with the largest page_id is the original. Rows that repeat that id, and null ids, are originals too.
     """
     some = heads.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
-    newest = F.max(F.struct("page_id", "url"))
-    first = some.groupBy("payload_digest").agg(newest.alias("_o"), F.min("page_id").alias("_least")).where("_least < _o.page_id")
-    rows = some.join(first, "payload_digest").where("page_id < _o.page_id")
-    return rows.select("page_id", "payload_digest", F.col("_o.page_id").alias("refers_to"), F.col("_o.url").alias("refers_to_url")).distinct()
+    first = some.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
+    rows = spread_join(some, first, "payload_digest", "page_id").where("page_id < refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    # the url of an original is looked up for those that are referred to; a repeated page_id has one of its urls
+    urls = heads.select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("url").alias("refers_to_url"))
+    urls = urls.join(first, ["refers_to", "payload_digest"], "left_semi").groupBy("refers_to", "payload_digest").agg(F.max("refers_to_url").alias("refers_to_url"))
+    return spread_join(written(rows, "warc_repeats"), urls.drop("refers_to"), "payload_digest", "page_id")
 
 
 def record_id(page_id: object, digest: str) -> str:
@@ -94,7 +96,6 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     The revisits are written first, so Spark knows their size when it plans the join that marks them:
     the payloads stay where they are unless the revisits are too many to broadcast.
     """
-    small_batches(pages.sparkSession)
     heads = written(headers(pages, page_id, url, html), "warc_headers")
     repeats = written(revisits(heads, least_bytes), "warc_revisits")
     mean = heads.agg(F.avg("payload_bytes")).first()[0] or 0
@@ -103,7 +104,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("page_id", "url", "html", "payload_digest", "refers_to", "refers_to_url")
-        for batch in batches:
+        for batch in slices(batches, "html"):
             made = [gzip_member(record(i, u, h.encode(), d, to, to_url, date)) for i, u, h, d, to, to_url in zip(*[batch.column(c).to_pylist() for c in names], strict=True)]
             yield pa.record_batch([pa.array(made, pa.binary())], ["record"])
 
@@ -141,7 +142,7 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                rows = []
+                rows, held = [], 0
                 for data in members(memoryview(content.as_buffer())):
                     h, block = parsed(data)
                     http, _, payload = block.partition(b"\r\n\r\n")
@@ -150,9 +151,10 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
                     if response and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                         raise ValueError(f"{h['warc-record-id']} is damaged")
                     rows.append((h.get("x-page-id"), length, digest, h["warc-type"], h.get("x-refers-to-page-id"), h["warc-target-uri"], payload if response else None))
-                    if len(rows) == 500:
+                    held += len(block) + 500
+                    if held > SLICE_BYTES:
                         yield table(rows)
-                        rows = []
+                        rows, held = [], 0
                 yield table(rows)
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -160,7 +162,6 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [[]] * len(types)
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "payload"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
     rows = files.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, target_uri string, payload binary")
     return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
