@@ -1,8 +1,8 @@
 """Secrets in whole texts, told apart by who owns copies of them, in DataFrame functions only.
 
 Patterns find candidate spans. The hash of each candidate's value is counted over the corpus by
-distinct owners and repositories: a value that many owners have is a copied example, and one that few
-have is taken for a live credential of theirs.
+distinct owners and repositories: a value that many owners have, or a few in many repositories, is a
+copied example, and one that is an owner's is taken for a live credential.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm._store import let, written
+from emberlog.llm._store import let, spread_join, written
 
 #: The base patterns with the group that holds the value and its least length.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -69,51 +69,61 @@ def written_spans(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), one), ",")
 
 
+def candidate_spans(text: Column) -> Column:
+    """A struct of the base spans and of the bare tokens that touch none of them."""
+    full = F.coalesce(text, F.lit(""))
+    return let(F.concat(*base_spans(full)), lambda b: F.struct(b.alias("base"), outside(found(full, BARE, 3, 20, 0), b).alias("bare")))
+
+
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:
     """row, doc_id, owner, repository, base spans and other candidate spans of each row of ``docs``."""
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-    )
-    base = F.concat(*base_spans(F.col("text")))
-    rows = rows.select("doc_id", "owner", "repository", base.alias("base"), found(F.col("text"), BARE, 3, 20, 0).alias("bare"))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", "base", outside(F.col("bare"), F.col("base")).alias("bare"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), candidate_spans(F.col(text)).alias("c"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", "c.base", "c.bare")
 
 
-def ownership(rows: DataFrame) -> DataFrame:
-    """value_hash, owners, repositories: how many of each have the value. Null owners count as one owner.
+def each_value(rows: DataFrame) -> DataFrame:
+    """row, owner, repository, value_hash, s (the span) for each candidate of ``rows``, as a written table."""
+    each = rows.select("row", "owner", "repository", F.explode(F.concat("base", "bare")).alias("s"))
+    return written(each.withColumn("value_hash", F.sha2(F.col("s.value"), 256)), "secret_values")
 
-    Counted in steps that each combine before they shuffle, so a value in a third of all rows stays small.
+
+def ownership(each: DataFrame) -> DataFrame:
+    """value_hash, owners, repositories: how many of each have the value; a repository is one of an owner's.
+
+    Null owners count as one owner, and null repositories of an owner as one. Counted in steps that each
+    combine before they shuffle, so a value in a third of all rows stays small.
     """
-    each = rows.select("owner", "repository", F.explode(F.concat("base", "bare")).alias("s"))
-    each = each.select(F.sha2(F.col("s.value"), 256).alias("value_hash"), "owner", "repository").distinct()
-    by_owner = each.groupBy("value_hash", "owner").agg(F.count("*").alias("n"))
+    by_repository = each.select("value_hash", "owner", "repository").distinct()
+    by_owner = by_repository.groupBy("value_hash", "owner").agg(F.count("*").alias("n"))
     return by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "lang", most_owners: int = 2) -> DataFrame:
-    """row, doc_id, base, spans, n_live, n_copied for each row of ``docs``; spans are arrays of structs.
+def is_live(most_owners: int, most_repositories: int) -> Column:
+    """One owner's values are live in however many of its repositories; those of a few owners only while they are in few repositories."""
+    return (F.col("owners") == 1) | ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
+
 
-    ``spans`` are the base spans and the bare tokens that at most ``most_owners`` owners have, which
-    are ``owned``. ``n_live`` and ``n_copied`` count those spans by whether the value has at most
-    ``most_owners`` owners. A null or empty text has no spans; repeated rows each give a row.
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "lang", most_owners: int = 2, most_repositories: int = 4) -> DataFrame:
+    """row, doc_id, base, spans, n_live, n_copied, most_owners, most_repositories for each row of ``docs``; spans are arrays of structs.
+
+    ``spans`` are the base spans and those bare tokens that are live, which are ``owned``: a value is
+    live by ``is_live``. ``n_live`` and ``n_copied`` count the spans by it; the last two columns are the
+    largest counts of owners and repositories of a value in the row, 0 without one. A null or empty
+    text has no spans; repeated rows each give a row; an empty table gives an empty one.
     """
     rows = written(candidates(docs, doc_id, text, owner, repository), "secret_candidates")
-    some = rows.where((F.size("base") > 0) | (F.size("bare") > 0))
-    each = some.select("row", F.explode(F.concat("base", "bare")).alias("s")).withColumn("value_hash", F.sha2(F.col("s.value"), 256))
-    live = each.join(ownership(some), "value_hash").withColumn("live", F.col("owners") <= most_owners)
+    each = each_value(rows)
+    live = spread_join(each, ownership(each), "value_hash", "row").withColumn("live", is_live(most_owners, most_repositories))
     verdict = live.groupBy("row").agg(
         F.collect_list(F.when(F.col("live") & (F.col("s.kind") == 3), F.col("s"))).alias("owned"),
-        F.collect_list(F.when(F.col("live"), F.col("s"))).alias("live_spans"),
         F.sum(F.when(F.col("live"), 1).otherwise(0)).alias("n_live"),
         F.sum(F.when(~F.col("live") & (F.col("s.kind") < 3), 1).otherwise(0)).alias("n_copied"),
-    )
-    none = F.array().cast(f"array<{SPAN}>")
-    out = rows.join(verdict, "row", "left")
-    return out.select(
-        "row", "doc_id", "base", F.concat("base", F.coalesce("owned", none)).alias("spans"), F.coalesce("live_spans", none).alias("live_spans"),
-        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
+        F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"),
     )
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    out = rows.join(verdict, "row", "left")
+    spans = F.concat("base", F.coalesce("owned", F.array().cast(f"array<{SPAN}>"))).alias("spans")
+    return out.select("row", "doc_id", "base", spans, *[count(c) for c in ("n_live", "n_copied", "most_owners", "most_repositories")])
 
 
 def counted(scanned: DataFrame) -> DataFrame:
@@ -121,41 +131,43 @@ def counted(scanned: DataFrame) -> DataFrame:
     of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return scanned.select(
         "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
-        F.sha2(written_spans(F.col("base")), 256).alias("base_sha256"), written_spans(F.col("spans")).alias("spans"), "n_live", "n_copied",
+        F.sha2(written_spans(F.col("base")), 256).alias("base_sha256"), written_spans(F.col("spans")).alias("spans"), "n_live", "n_copied", "most_owners", "most_repositories",
     )
 
 
-def live_values(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "lang", most_owners: int = 2) -> DataFrame:
-    """value_hash of each candidate value that at most ``most_owners`` owners have."""
-    rows = written(candidates(docs, docs.columns[0], text, owner, repository).where((F.size("base") > 0) | (F.size("bare") > 0)), "secret_candidates")
-    return written(ownership(rows).where(F.col("owners") <= most_owners).select("value_hash"), "live_values")
+def redacted(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with ``mark`` in the place of each of ``spans``; of spans that overlap, what an earlier one has taken is not taken again."""
 
+    def cut(acc: Column, s: Column) -> Column:
+        more = F.when(s["start"] >= acc["at"], F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(F.sort_array(spans), start, cut, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
 
-def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "lang", most_owners: int = 2, mark: str = "<SECRET>", length: str | None = "n_chars") -> DataFrame:
+
+def redact(
+    docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "lang", most_owners: int = 2, most_repositories: int = 4, mark: str = "<SECRET>", length: str | None = "n_chars"
+) -> DataFrame:
     """``docs`` with ``mark`` in the place of each live span; texts without one, and copied examples, stay as they are.
 
     The spans that ``scan`` calls live are those replaced. ``length``, if it is a column, is set to the
-    new number of characters. Rows are not joined by an id: each text's live values come back to it
-    under the hash of the text, so only the texts that hold a candidate are shuffled.
-    """
-    found_spans = let(F.concat(*base_spans(F.col(text))), lambda b: F.concat(b, outside(found(F.col(text), BARE, 3, 20, 0), b)))
-    spotted = docs.withColumn("_spans", found_spans)
-    clean = spotted.where(F.col(text).isNull() | (F.size("_spans") == 0)).drop("_spans")
-    some = spotted.where(F.col(text).isNotNull() & (F.size("_spans") > 0)).withColumn("_text_hash", F.sha2(F.col(text), 256))
-    live = live_values(docs, text, owner, repository, most_owners)
-    values = some.select("_text_hash", F.explode("_spans").alias("s")).select("_text_hash", "s.value", F.sha2(F.col("s.value"), 256).alias("value_hash")).distinct()
-    texts = values.join(live, "value_hash").groupBy("_text_hash").agg(F.collect_set("value").alias("_live"))
-    some = some.join(written(texts, "live_texts"), "_text_hash", "left")
-    chosen = F.filter(F.sort_array("_spans"), lambda s: F.array_contains(F.coalesce("_live", F.array().cast("array<string>")), s["value"]))
+    new number of characters. Null and empty texts stay; repeated rows each give a row; an empty table
+    gives an empty one. Columns of ``docs`` may have any names.
 
-    def cut(acc: Column, s: Column) -> Column:
-        # spans may overlap: what an earlier one has taken is not taken again
-        more = F.when(s["start"] >= acc["at"], F.concat(F.substr(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    joined = F.aggregate(chosen, start, cut, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, F.length(text))))
-    some = some.withColumn(text, joined).drop("_spans", "_text_hash", "_live")
+    Each text is searched once: the rows are written with their spans, and only what holds a live value
+    is joined to the texts that have a candidate.
+    """
+    rows = docs.select(F.struct("*").alias("doc"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), candidate_spans(F.col(text)).alias("c"))
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc", "owner", "repository", "c.base", "c.bare"), "searched_documents")
+    each = each_value(rows.select("row", "owner", "repository", "base", "bare"))
+    live = spread_join(each, ownership(each).where(is_live(most_owners, most_repositories)).select("value_hash"), "value_hash", "row")
+    live = written(live.groupBy("row").agg(F.collect_list("s").alias("live")), "live_spans")
+    has_any = F.size(F.concat("base", "bare")) > 0
+    new = redacted(F.col("doc")[text], F.col("live"), mark)
+    doc = F.col("doc").withField(f"`{text}`", new)
     if length and length in docs.columns:
-        some = some.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return clean.unionByName(some.select(*[F.col(f"`{c}`") for c in docs.columns]))
+        doc = doc.withField(f"`{length}`", F.length(new).cast(docs.schema[length].dataType))
+    changed = rows.where(has_any).join(live, "row", "left")
+    changed = changed.select(F.when(F.col("live").isNotNull(), doc).otherwise(F.col("doc")).alias("doc"))
+    return rows.where(~has_any).select("doc").unionByName(changed).select("doc.*")

@@ -62,13 +62,15 @@ _WRITTEN = "coalesce(string_agg(['assign', 'access', 'hex', 'owned'][k + 1] || '
 _BARE = "length(m) >= 20 and not contains(m, '.') and regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')"
 
 OP10_SQL = f"""
-with d as (select row_number() over () rid, doc_id, coalesce(source, chr(0)) owner, coalesce(text, '') t from documents),
+with d as (select row_number() over () rid, doc_id, coalesce(source, chr(0)) owner, coalesce(lang, chr(0)) repository, coalesce(text, '') t from documents),
 base as ({_spans(0, _ASSIGN, _VALUE, f"length({_VALUE}) >= 8")} union all {_spans(1, "AKIA[A-Z0-9]+", "m", "length(m) >= 16")} union all {_spans(2, "[0-9a-f]+", "m", "length(m) >= 32")}),
 bare as (select * from ({_spans(3, "[A-Za-z0-9+/_.=-]+", "m", _BARE)}) x where not exists (select 1 from base b where b.rid = x.rid and x.s < b.e and b.s < x.e)),
 found as (select * from base union all select * from bare),
-owners as (select v, count(distinct owner) n from found join d using (rid) group by 1),
-judged as (select found.*, n <= 2 live from found join owners using (v))
+seen as (select distinct v, owner, repository from found join d using (rid)),
+owners as (select v, count(distinct owner) n, count(*) m from seen group by 1),
+judged as (select found.*, n, m, n = 1 or n <= 2 and m <= 4 live from found join owners using (v))
 select doc_id, cast(count(*) filter (k = 0) as bigint) n_assign, cast(count(*) filter (k = 1) as bigint) n_access, cast(count(*) filter (k = 2) as bigint) n_hex,
   sha256({_WRITTEN.format(" filter (k < 3)")}) base_sha256, {_WRITTEN.format(" filter (k < 3 or live)")} spans,
-  cast(count(*) filter (live) as bigint) n_live, cast(count(*) filter (not live and k < 3) as bigint) n_copied
+  cast(count(*) filter (live) as bigint) n_live, cast(count(*) filter (not live and k < 3) as bigint) n_copied,
+  cast(coalesce(max(n), 0) as bigint) most_owners, cast(coalesce(max(m), 0) as bigint) most_repositories
 from d left join judged using (rid) group by rid, doc_id"""
