@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +20,11 @@ OVERHEAD = 16
 MAP = "version long, virtual_slot int, shard int, bytes long, rows long, first_slot long"
 
 
+def virtual_slot(doc_id: str, text: Column, slots: int) -> Column:
+    """By id and text, so that rows that share an id, or have none, are dealt out too; only equal rows go together."""
+    return F.pmod(F.xxhash64(F.col(doc_id), F.crc32(text.cast("binary"))), F.lit(slots)).cast("int")
+
+
 def slotted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text and ``OVERHEAD``), text_crc32, virtual_slot of each row; a null text has no bytes."""
     full = F.coalesce(F.col(text), F.lit(""))
@@ -27,7 +32,7 @@ def slotted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots:
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(full) + OVERHEAD).cast("long").alias("size"),
         F.crc32(full.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(doc_id)), F.lit(slots)).cast("int").alias("virtual_slot"),
+        virtual_slot(doc_id, full, slots).alias("virtual_slot"),
     )
 
 
@@ -117,7 +122,8 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
 
     With ``map_path`` of an earlier call the newest map there is rebalanced, else a first one is
     written. Null ids hash like any value and repeated rows each have a place; an empty table gives an
-    empty one. One row is never divided: a shard exceeds its share by at most the size of one slot.
+    empty one. One row is never divided, and rows equal in id and text share a virtual slot: a shard
+    exceeds its share by at most the size of one slot. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     rows = written(slotted(docs, doc_id, text, slots), "slotted")
@@ -131,8 +137,12 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     return placed(rows, store_map(spark, map_path or new_path(spark, "slot_map"), version, sizes, shard_of))
 
 
-def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, doc_id: str = "doc_id", slots: int = SLOTS) -> None:
-    """Write ``docs`` with a folder for each shard; rows of a virtual slot stay together."""
-    keyed = docs.withColumn("virtual_slot", F.pmod(F.xxhash64(F.col(doc_id)), F.lit(slots)).cast("int"))
-    keyed = keyed.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot")
+def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> None:
+    """Write ``docs`` with a folder for each shard; rows of a virtual slot stay together.
+
+    Null texts and ids hash like any value, repeated rows are all written, an empty table writes no
+    folder. The rows are kept as structs named ``doc``, so their columns may have any names.
+    """
+    slot = virtual_slot(doc_id, F.coalesce(F.col(text), F.lit("")), slots)
+    keyed = docs.select(F.struct("*").alias("doc"), slot.alias("virtual_slot")).join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot")
     keyed.repartition("shard", "virtual_slot").write.partitionBy("shard").parquet(path)

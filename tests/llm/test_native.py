@@ -1,10 +1,14 @@
 """Quality rules, sharding, URL filters and secret scans against brute force, with nulls, ties and empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+from pyspark.sql import functions as F
+
 from emberlog.llm import quality_rules, secret_scan, sharding, url_filters
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, host string, value int"
@@ -51,6 +55,39 @@ def test_failing_host_takes_its_documents(spark):
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == set(range(160))
 
 
+def brute_shards(rows, shards):
+    """(doc_id, text) to (size, crc, shard, slot), by a loop over all rows and a scan over all shards for each slot."""
+    made = []
+    for i, t in rows:
+        data, h = (t or "").encode(), 42
+        crc = zlib.crc32(data)
+        for x in (i, crc):
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), h) if x is not None else h
+        h = h - (1 << 64) if h >= 1 << 63 else h
+        made.append((i, len(data) + 16, crc, h % 8192))
+    size = Counter()
+    for r in made:
+        size[r[3]] += r[1]
+    total, shard_of, out, first = [0] * shards, {}, [], Counter()
+    for slot in sorted(size, key=lambda s: (-size[s], s)):
+        shard_of[slot] = k = total.index(min(total))
+        total[k] += size[slot]
+    for r in sorted(made, key=lambda r: (r[3], r[0] is not None, r[0] or 0, r[1], r[2])):
+        out.append((*r[:3], shard_of[r[3]], first[shard_of[r[3]]]))
+        first[shard_of[r[3]]] += 1
+    return out
+
+
+def test_shards_by_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, "", "é", "copied text", f"text {i} " * rng.randrange(60)])) for i in range(1500)]
+    rows += [(None, f"no id {i}") for i in range(200)] + [(7, f"one id {i}") for i in range(200)] + [(9, "same")] * 5
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, virtual_slot string, shard int")
+    out = sharding.shard(frame, 40).collect()
+    made = Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in out)
+    assert made == Counter(brute_shards(rows, 40))
+
+
 def test_shards(spark, tmp_path):
     frame = docs(spark, [None, "", "é"] + ["word " * (i % 50) for i in range(3000)])
     path = str(tmp_path / "map")
@@ -97,6 +134,45 @@ def test_urls(spark):
     assert url_filters.judge(pages.limit(0), url_filters.rule_table(spark)).count() == 0
 
 
+def brute_pattern(pattern, address):
+    """Whether a pattern fits, by walking over its signs."""
+    p, a = pattern.lower(), re.sub("[A-Z]", lambda m: m[0].lower(), address)
+    host = a.split("/")[0]
+    starts = [0, *(i + 1 for i, c in enumerate(host) if c == ".")] if p.startswith("||") else [0] if p.startswith("|") else range(len(a) + 1)
+    to_end = len(p) > 1 and p.endswith("|")
+    p = p.removeprefix("|").removeprefix("|").removesuffix("|")
+
+    def fits(i, j):
+        if j == len(p):
+            return i == len(a) or not to_end
+        if p[j] == "*":
+            return any(fits(k, j + 1) for k in range(i, len(a) + 1))
+        if p[j] == "^":
+            return (i == len(a) and fits(i, j + 1)) or (i < len(a) and not re.match("[a-z0-9_.%-]", a[i]) and fits(i + 1, j + 1))
+        return i < len(a) and a[i] == p[j] and fits(i + 1, j + 1)
+
+    return any(fits(i, 0) for i in starts)
+
+
+def test_thousands_of_patterns(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)] + ["ads", "x"]
+    word = lambda: rng.choice(words)
+    shapes = [lambda: f"||{word()}.{word()}^", lambda: f"/{word()}/*{word()}^", lambda: f"{word()[:2]}*", lambda: f".{word()}/{word()}|", lambda: f"|{word()}.*?{word()}=", lambda: f"-{word()}-{word()}.", lambda: f"^{word()}^"]
+    patterns = sorted({rng.choice(shapes)() for _ in range(4000)} | {"*", "||"})
+    urls = [f"http://{word()}.{word()}.ORG/{word()}/{word()}{rng.choice('-./_')}{word()}{rng.choice(['', '/', '?q'])}" for _ in range(60)]
+    table = spark.createDataFrame([(p, "block") for p in [*patterns[1:], None, ""]], "pattern string, verdict string")
+    pages = spark.createDataFrame(enumerate(urls), "page_id long, url string")
+    assert len(patterns) > 2000
+    for r in url_filters.judge(pages, url_filters.rule_table(spark, (("zzz/", "allow"),), table)).collect():
+        fits = [p for p in patterns[1:] if brute_pattern(p, r["host"] + r["path"])]
+        assert r["pattern_rule"] == min(fits, key=lambda p: (-len(p), p)) and r["verdict"] == "block"
+    few = [p for p in patterns if p.startswith(("/w1", "^w2", "^ads"))]
+    for r in url_filters.judge(pages, url_filters.rule_table(spark, (("zzz/", "allow"),), table.where(F.col("pattern").isin(few)))).collect():
+        fits = [p for p in few if brute_pattern(p, r["host"] + r["path"])]
+        assert r["pattern_rule"] == min(fits, key=lambda p: (-len(p), p), default=None) and r["verdict"] == ("block" if fits else "allow")
+
+
 def brute_secrets(text):
     text, found = text or "", []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):

@@ -10,9 +10,11 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog.llm import chat, decontamination, near_dedup, packing, token_frames, warc
 from emberlog.llm._tokens import default_tokenizer, encoder
+from emberlog.llm._words import Shingles
 
 DOCS = "doc_id long, text string, part int, name string"
 
@@ -30,7 +32,9 @@ def some_texts():
 
 @pytest.fixture(scope="module")
 def plain_ids():
-    tokenizer = encoder(default_tokenizer()).tokenizer
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(default_tokenizer())
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -83,7 +87,7 @@ def test_ids_are_those_of_the_tokenizer_as_loaded():
     fresh = Tokenizer.from_file(default_tokenizer())
     end = "<|endoftext|>"
     texts = [*some_texts(), f"a {end} b", end, f"{end}{end}", f" {end}  x\n{end}\n", f"one two{end}three four. " * 50, "<|endoftext |> a", "<| endoftext|>"]
-    made = encoder(default_tokenizer()).batch(texts)
+    made = [encoder(default_tokenizer()).ids(x) for x in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in made] == [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert np.frombuffer(encoder(default_tokenizer()).ids(f"a {end} b"), "<u4").tolist() == [64, 220, 50256, 275]
 
@@ -208,6 +212,8 @@ def test_chats(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", "\\### Assistant: </turn> ok"), (2, 5, "assistant", "a" * 1000 + "\n\\"), (2, 5, "assistant", "b"), (2, 5, "assistant", "b"), (2, 1, None, "<#:\\>"), (None, 0, "we:ird", "x")]
     rows += [(3, i, "assistant" if i % 2 else "user", "😀#" * 400) for i in range(120)]
     frame = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, seq int")
+    kinds = {r["operation"] for r in chat.events_of(frame).select("operation").distinct().collect()}
+    assert kinds == set(chat.OPERATIONS)
     segments = chat.format_chats(frame)
     out = {r["conv_id"]: r for r in chat.digest(segments).collect()}
     parts = defaultdict(list)
@@ -228,11 +234,13 @@ def test_log_folds_edits_and_regenerations(spark):
         (1, 1, 1, 3, "start", "assistant", None), (1, 1, 1, 4, "delta", None, "bad"), (1, 1, 1, 5, "regenerate", None, None), (1, 1, 1, 6, "delta", None, "good"),
         (1, 2, 1, 7, "start", "user", None), (1, 2, 1, 8, "delta", None, "x"), (1, 2, 1, 9, "edit", None, "y"), (1, 2, 1, 10, "delta", None, "z"),
         (1, 3, 1, 11, "start", "user", None), (1, 3, 1, 12, "remove", None, None),
+        (1, 4, 1, 13, "start", "user", None), *[(1, 4, 1, 14, "delta", None, "once")] * 3, (1, 4, 1, 13, "start", "user", None), (1, 4, 1, 15, "delta", None, "!"),
+        (1, 5, 1, 16, "start", "user", None), (1, 5, 1, 16, "delta", None, "lost"), (1, 5, 1, 17, "delta", None, "kept"),
     ]
     random.Random(1).shuffle(log)
     frame = spark.createDataFrame(log, "conv_id long, turn long, copy int, seq int, operation string, role string, text string")
     out = sorted((r["turn"], r["role"], r["text"]) for r in chat.reconstruct(frame).collect())
-    assert out == [(0, "user", "hello"), (1, "assistant", "good"), (2, "user", "yz")]
+    assert out == [(0, "user", "hello"), (1, "assistant", "good"), (2, "user", "yz"), (4, "user", "once!"), (5, "user", "kept")]
 
 
 @pytest.mark.parametrize("length", [60, 3000])
@@ -242,15 +250,16 @@ def test_block_pairs(length):
     base = [rng.randrange(10**9) for _ in range(length)]
     texts = [[rng.randrange(10**9) if rng.random() < e else w for w in base] for e in (0.01, 0.02, 0.03, 0.05) for _ in range(12)]
     texts = [list(t) for t in dict.fromkeys(map(tuple, texts))]  # classes have different sets
-    sets = [near_dedup.shingles([str(w).encode() for w in t], 4) for t in texts]
-    names, blocks = [near_dedup.set_name(s) for s in sets], 3
+    shingles = Shingles(4)
+    sets = [shingles.of_words([str(w).encode() for w in t]) for t in texts]
+    names, blocks = list(range(100, 100 + len(sets))), 3
     rows = []
     for k, s in enumerate(sets):
         sketch = (near_dedup.signature(s) & np.uint32(255)).astype(np.uint8).tobytes()
         wide = np.unique((s >> np.uint64(32)).astype(np.uint32))[: near_dedup.WIDE].tobytes()
         for other in range(blocks):
             x, y = sorted((k % blocks, other))
-            rows.append({"hub": b"h", "x": x, "y": y, "name": names[k], "part": b"%d" % (k % 5), "n_shingles": len(s), "sketch": sketch, "wide": wide, "block": k % blocks})
+            rows.append({"hub": 1, "x": x, "y": y, "class_id": names[k], "part": k % 5, "n_shingles": len(s), "sketch": sketch, "wide": wide, "block": k % blocks})
     rows.sort(key=lambda r: (r["x"], r["y"]))
     batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=7)
     found = [tuple(p.values()) for b in near_dedup.block_pairs(0.8, 1e-6)(iter(batches)) for p in b.to_pylist()]
@@ -260,3 +269,49 @@ def test_block_pairs(length):
     assert len(found) == len(set(found)) and links <= set(found) and 0 < len(links) < len(pairs)
     if length == 60:
         assert set(found) == links
+
+
+def test_columns_of_any_name_and_settings_left_alone(spark):
+    from emberlog.llm import quality_rules, secret_scan
+
+    names = ["_text_key", "_row_id", "_row_key", "_maybe", "_gone", "_again", "_text_hash", "_spans", "_live", "_holds_item", "_failing_host", "doc", "host", "row", "m", "c", "base", "a.b"]
+    good = " ".join(f"w{k}" for k in range(30))
+    rows = [(i, t, "en", f"s{i}", 9) for i, t in enumerate([None, "", good, good, f"{good} token=abcdef123456", "short"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame = frame.select("*", *[F.lit(7).alias(n) for n in names])
+    items = spark.createDataFrame([(1, "no such item in any of the texts here")], "item_id long, text string")
+    before = {k: v for k, v in spark.sparkContext.getConf().getAll()} | {r["key"]: r["value"] for r in spark.sql("set").collect()}
+    stages = [quality_rules.keep_good, near_dedup.keep_one, lambda d: decontamination.drop_contaminated(d, items), secret_scan.redact]
+    expected = [{2, 3, 4}, {0, 1, 2, 5}, set(range(6)), set(range(6))]
+    for stage, ids in zip(stages, expected, strict=True):
+        out = stage(frame)
+        assert out.columns == frame.columns and {r["doc_id"] for r in out.collect()} == ids
+        assert stage(frame.limit(0)).columns == frame.columns and stage(frame.limit(0)).count() == 0
+    assert packing.pack(frame).count() >= 6
+    assert before == {k: v for k, v in spark.sparkContext.getConf().getAll()} | {r["key"]: r["value"] for r in spark.sql("set").collect()}
+
+
+def test_very_long_texts_are_worked_on_alone(spark, plain_ids):
+    long = " ".join(f"word{k % 5000} and" for k in range(150_000))
+    frame = docs(spark, [(1, long), (2, "short one"), (3, long + " end"), (4, None)])
+    n = {r["doc_id"]: r["n"] for r in packing.pack(frame).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert n == {1: len(plain_ids(long)) + 1, 2: len(plain_ids("short one")) + 1, 3: len(plain_ids(long + " end")) + 1, 4: 1}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
+def test_pipeline(spark, tmp_path, plain_ids):
+    """Documents in, pieces out: each stage's decisions hold, also for null and repeated ids."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(n))
+    a, b, c, d, item = text(80), text(60), text(50), text(40), text(30)
+    near = a.split()
+    near[10] = "changed"
+    rows = [(1, a), (2, a), (3, " ".join(near)), (4, b), (5, f"{text(500)} {item} {text(20)}"), (6, f"{c} password = hunter2hunter2"), (7, "too short"), (8, None), (9, ""), (None, d), (None, d), (4, b)]
+    expected = [(1, a), (4, b), (6, f"{c} <SECRET>"), (None, d)]
+    spark.createDataFrame([(i, t, "en", f"s{k % 5}", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    parts = defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        parts[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+    assert {i: [x for _, ids in sorted(p) for x in ids] for i, p in parts.items()} == {i: [*plain_ids(t), 0] for i, t in expected}
