@@ -359,9 +359,12 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
         # the least row of a class gives it its number, and stands for it whether it has an id or not
         names = rows.where("name is not null").groupBy("name").agg(F.min("row").alias("class_id"), F.min("doc_id").alias("least_id"))
         names = keep(names, "classes")
-        first = names.select(F.col("class_id").alias("row"))
-        classes = rows.join(first, "row", "left_semi").withColumnRenamed("row", "class_id").drop("name")
-        job = Job(keep(classes, "class_rows"), texts, width, threshold, miss, keep)
+        labelled = keep(spread_join(rows.select("row", "doc_id", "text_key", "n_shingles", "name"), names, "name", "row", "left").drop("name"), "labelled")
+        # the rows that stand for no class are few beside the others, whose sketches and bands need no shuffle
+        copies = keep(labelled.where("row <> class_id").select("row"), "copies")
+        marked = marked_in(rows.where("name is not null").drop("name"), [F.col("row")], copies, [F.col("row")], "maybe")
+        alone = marked.where(~F.col("maybe")).unionByName(marked.where("maybe").join(copies, "row", "left_anti")).drop("maybe")
+        job = Job(keep(alone.withColumnRenamed("row", "class_id"), "class_rows"), texts, width, threshold, miss, keep)
 
         buckets = keep(job.classes.select("class_id", F.explode("bands").alias("key")), "buckets")
         shared = buckets.groupBy("key").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).where("hub <> last").select("key", "hub")
@@ -379,10 +382,9 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
         linked = keep(names.select("class_id", "least_id").join(labels.withColumnRenamed("node", "class_id"), "class_id"), "linked_classes")
         least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
         linked = keep(spread_join(linked, least, "root", "class_id").select("class_id", "root", "component_id"), "components")
-        final = names.join(linked, "class_id", "left").select("name", F.coalesce("root", "class_id").alias("root"), F.coalesce("component_id", F.when(F.col("root").isNull(), F.col("least_id"))).alias("component_id"))
-        out = spread_join(rows.select("row", "doc_id", "text_key", "n_shingles", "name"), final, "name", "row", "left")
-        component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-        return written(out.select("row", "doc_id", "text_key", "n_shingles", "root", component), "near_duplicates")
+        out = spread_join(labelled, linked, "class_id", "row", "left")
+        component = F.when(F.col("class_id").isNull(), F.col("doc_id")).when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id"))
+        return written(out.select("row", "doc_id", "text_key", "n_shingles", F.coalesce("root", "class_id").alias("root"), component.alias("component_id")), "near_duplicates")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, miss: float = 1e-6) -> DataFrame:
