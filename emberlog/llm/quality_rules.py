@@ -152,6 +152,6 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rat
     rows = docs.select(F.struct("*").alias("doc"), F.col(host).cast("string").alias("host"), measures(F.col(text)).alias("m"))
     rows = rows.select("doc", "host", *[c.alias(n) for n, c in failures("m.w.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_lines", "m.w.n_repeat_words").items()])
     rows = rows.withColumn("base_failed", F.col("few_words") | F.col("repetitive"))
-    rows = written(rows.withColumn("doc", F.when(~F.col("base_failed"), F.col("doc"))), "judged_documents")
+    rows = written(rows.withColumn("doc", F.when(~F.col("base_failed"), F.col("doc"))), "judged_documents", "zstd")
     bad = written(failing_hosts(rows.drop("doc"), "host", max_rate, min_docs).select("host"), "failing_hosts")
     return rows.where(~F.col("base_failed")).join(bad, "host", "left_anti").select("doc.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm._store import let, spread_join, written
+from emberlog.llm._store import free_name, let, marked_in, spread_join, written
 
 #: The base patterns with the group that holds the value and its least length.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -155,19 +155,23 @@ def redact(
     new number of characters. Null and empty texts stay; repeated rows each give a row; an empty table
     gives an empty one. Columns of ``docs`` may have any names.
 
-    Each text is searched once: the rows are written with their spans, and only what holds a live value
-    is joined to the texts that have a candidate.
+    Each text is searched once, and what is found is written without the text. Live spans come back
+    to it under its hash: only texts that may have some are shuffled.
     """
-    rows = docs.select(F.struct("*").alias("doc"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), candidate_spans(F.col(text)).alias("c"))
-    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc", "owner", "repository", "c.base", "c.bare"), "searched_documents")
-    each = each_value(rows.select("row", "owner", "repository", "base", "bare"))
+    key, maybe, live_spans = free_name(docs, "_text_key"), free_name(docs, "_maybe"), free_name(docs, "_live_spans")
+    named = docs.withColumn(key, F.unhex(F.sha2(F.col(text), 256)))
+    rows = named.select(F.col(key).alias("text_key"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), candidate_spans(F.col(text)).alias("c"))
+    rows = rows.select("text_key", "owner", "repository", "c.base", "c.bare").where((F.size("base") > 0) | (F.size("bare") > 0))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "secret_candidates")
+    each = each_value(rows)
     live = spread_join(each, ownership(each).where(is_live(most_owners, most_repositories)).select("value_hash"), "value_hash", "row")
-    live = written(live.groupBy("row").agg(F.collect_list("s").alias("live")), "live_spans")
-    has_any = F.size(F.concat("base", "bare")) > 0
-    new = redacted(F.col("doc")[text], F.col("live"), mark)
-    doc = F.col("doc").withField(f"`{text}`", new)
+    # rows with one text have the same spans and the same verdicts
+    live = live.join(rows.select("row", "text_key"), "row").groupBy(F.col("text_key").alias(key)).agg(F.collect_set("s").alias(live_spans))
+    live = written(live, "live_spans")
+    marked = marked_in(named, [F.col(key)], live, [F.col(key)], maybe)
+    some = marked.where(maybe).join(live, key, "left")
+    some = some.withColumn(text, F.when(F.col(live_spans).isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col(live_spans), mark)))
     if length and length in docs.columns:
-        doc = doc.withField(f"`{length}`", F.length(new).cast(docs.schema[length].dataType))
-    changed = rows.where(has_any).join(live, "row", "left")
-    changed = changed.select(F.when(F.col("live").isNotNull(), doc).otherwise(F.col("doc")).alias("doc"))
-    return rows.where(~has_any).select("doc").unionByName(changed).select("doc.*")
+        new = F.length(text).cast(docs.schema[length].dataType)
+        some = some.withColumn(length, F.when(F.col(live_spans).isNull(), F.col(length)).otherwise(new))
+    return marked.where(~F.col(maybe)).drop(key, maybe).unionByName(some.drop(key, maybe, live_spans))
