@@ -21,7 +21,7 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Parts with one line break between them, which is then a pre-token.
 _BROKEN = re.compile(r"\S+(?:\n\S+)+")
 #: Pieces that are remembered, by length and number: some 160 bytes each.
-_LONGEST, _MOST = 48, 400_000
+_LONGEST, _MOST = 48, 600_000
 
 
 def default_tokenizer() -> str:
@@ -93,14 +93,6 @@ class Encoder:
         first, *rest = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
         return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
 
-    def __enter__(self) -> Encoder:
-        return self
-
-    def __exit__(self, *_) -> None:
-        """Free the pieces that are remembered: a worker outlives its tasks."""
-        self.first.clear()
-        self.rest.clear()
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
