@@ -34,7 +34,7 @@ def step_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {INSTANCES}, {LOG}, c as (select l.id, instance_id, l.created_at, case l.id % 2 when 0 then 'exec-a' else 'exec-b' end owner from log l)
-select c.id, c.owner, case when i.id is null then 'no-instance' when lease_owner = owner and lease_expires_at > c.created_at then 'committed' else 'lease-lost' end outcome
+select c.id, c.owner, case when i.id is null then 'no-instance' when lease_owner = owner and (lease_expires_at is null or lease_expires_at > c.created_at) then 'committed' else 'lease-lost' end outcome
 from c left join instances i on c.instance_id = i.id""")
 def fenced_commits(spark: SparkSession, d: str) -> DataFrame:
     commits = A.log(spark, d).select("id", "instance_id", "created_at", F.when(F.col("id") % 2 == 0, "exec-a").otherwise("exec-b").alias("owner"))
@@ -69,8 +69,8 @@ def instance_id_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {INSTANCES}, {LOG}, e as (select id, instance_id * 7 instance_id, case when id % 10 = 0 then kind else replace(kind, '.', '_') end type from log)
-select e.id, type, case when not regexp_matches(type, '^[A-Za-z0-9_-]{{1,100}}$') then 'bad-type' when i.id is null then 'not-found'
-  when status in ('queued', 'running', 'waiting', 'waitingForPause') then 'sent' else 'not-running' end outcome from e left join instances i on e.instance_id = i.id""")
+select e.id, type, case when i.id is null then 'not-found' when status not in ('queued', 'running', 'waiting', 'waitingForPause') then 'not-running'
+  when not regexp_matches(type, '^[A-Za-z0-9_-]{{1,100}}$') then 'bad-type' else 'sent' end outcome from e left join instances i on e.instance_id = i.id""")
 def sent_events(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("id") % 10 == 0, F.col("kind")).otherwise(F.regexp_replace("kind", r"\.", "_"))
     sent = A.log(spark, d).select("id", (F.col("instance_id") * 7).alias("instance_id"), kind.alias("type"))

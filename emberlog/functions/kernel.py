@@ -44,10 +44,10 @@ def can_execute(status: Column) -> Column:
 
 
 def duration_ms(text: Column) -> Column:
-    """``<n> unit`` or plain milliseconds; anything else is null."""
-    number = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*([a-z]*?)s?\s*$", 1)
-    unit = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*([a-z]*?)s?\s*$", 2)
-    scale = F.coalesce(*[F.when(unit == name, F.lit(ms)) for name, ms in UNIT_MS.items()], F.when(unit == "", F.lit(1)))
+    """``<n> unit``, the unit whole, in either case, with or without an ``s``; or plain milliseconds. Anything else is null."""
+    pattern = rf"(?i)\A\s*(\d+(?:\.\d+)?)(?:\s*({'|'.join(UNIT_MS)})s?)?\s*\z"
+    number, unit = F.regexp_extract(text, pattern, 1), F.lower(F.regexp_extract(text, pattern, 2))
+    scale = F.coalesce(*[F.when(unit == name, F.lit(ms)) for name, ms in UNIT_MS.items()], F.lit(1))
     return F.when(number != "", F.floor(number.cast("double") * scale)).cast("long")
 
 
@@ -62,8 +62,10 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the characters of a text of the basic plane, as eight hexadecimal digits."""
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    """32-bit FNV-1a over the UTF-16 units of a text, as eight hexadecimal digits."""
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    places = F.when(F.length(digits) > 0, F.sequence(F.lit(0), F.floor(F.length(digits) / 4).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    units = F.transform(places, lambda i: F.conv(F.substr(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
     mask = F.lit(0xFFFFFFFF).cast("long")
-    value = F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(0x811C9DC5).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(mask))
+    value = F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(mask))
     return F.lower(F.lpad(F.hex(value), 8, "0"))

@@ -60,18 +60,45 @@ def rollup(states: DataFrame, groups: list[str]) -> DataFrame:
     return out.select(name.alias("grouping"), F.coalesce(*groups, F.lit("")).alias("value"), "total", "mapped", "verified", percent(F.col("mapped"), F.col("total")).alias("mapped_pct"), percent(F.col("verified"), F.col("total")).alias("verified_pct"))
 
 
-def regressions(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """key, kind, before, after: cells whose denominator shrank or whose verified count fell. Cells without a measure after are none."""
-    both = before.alias("b").join(after.alias("a"), key)
-    shrunk = both.where("a.denominator < b.denominator").select(key, F.lit("denominator-shrink").alias("kind"), F.col("b.denominator").alias("before"), F.col("a.denominator").alias("after"))
-    fell = both.where("a.verified < b.verified").select(key, F.lit("metric-drop").alias("kind"), F.col("b.verified").alias("before"), F.col("a.verified").alias("after"))
-    return shrunk.unionByName(fell)
-
-
-def matched_waivers(found: DataFrame, waivers: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, outcome: each waiver excuses one regression of its keys; what is left over on either side fails."""
-    place = lambda df: df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*keys)))
-    left, right = place(found.select(*keys)).withColumn("_f", F.lit(True)), place(waivers.select(*keys)).withColumn("_w", F.lit(True))
+#: What a waiver must name in full.
+RECORD = ("kind", "oracle", "profile", "metric", "scope", "before", "after")
+
+
+def _lost(before: DataFrame, after: DataFrame, keys: list[str], kind: str, metric: str) -> DataFrame:
+    """keys, scope, before, after of the groups of ``before`` that have lost an id or members; both: keys, id, distinct."""
+    gone = before.join(after, [*keys, "id"], "left_anti").groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("scope"))
+    count = lambda df, c: df.groupBy(*keys).agg(F.count("*").alias(c))
+    out = count(before, "before").join(count(after, "after"), keys, "left").join(gone, keys, "left").withColumn("after", F.coalesce("after", F.lit(0)))
+    out = out.where(F.col("scope").isNotNull() | (F.col("after") < F.col("before"))).withColumn("scope", F.coalesce("scope", F.lit("")))
+    return out.withColumns({"kind": F.lit(kind), "metric": F.lit(metric), "before": F.col("before").cast("string"), "after": F.col("after").cast("string")})
+
+
+def regressions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The records (``RECORD``) of what got worse; states: profile, oracle, id, state, a row for each requirement under each oracle.
+
+    A profile that has lost an id, or is gone (after is 0), has a smaller denominator, whatever its count;
+    one that a requirement is no longer verified in, under an oracle that was measured again, has dropped.
+    """
+    ids = lambda df: df.select("profile", "id").distinct()
+    shrunk = _lost(ids(before), ids(after), ["profile"], "denominator-shrink", "denominator").withColumn("oracle", F.lit("*"))
+    keys = ["profile", "oracle"]
+    verified = lambda df: df.where("state = 'VERIFIED'").select(*keys, "id").distinct()
+    measured = after.select(*keys).distinct()
+    dropped = _lost(verified(before).join(measured, keys, "left_semi"), verified(after), keys, "metric-drop", "verified-numerator")
+    return shrunk.select(*RECORD).unionByName(dropped.select(*RECORD))
+
+
+def pin_updates(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The records of oracles (oracle, candidate) whose candidate is another than before; one that is missing on a side is none."""
+    both = before.select("oracle", F.col("candidate").alias("before")).join(after.select("oracle", F.col("candidate").alias("after")), "oracle").where("before <> after")
+    return both.withColumns({"kind": F.lit("upstream-pin-update"), "profile": F.lit("*"), "metric": F.lit("candidate"), "scope": F.lit("*")}).select(*RECORD)
+
+
+def matched_waivers(found: DataFrame, waivers: DataFrame) -> DataFrame:
+    """``RECORD``, outcome: each waiver excuses one record that is equal in all of it; what is left over on either side fails."""
+    keys = list(RECORD)
+    place = lambda df: df.select(*keys).withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*keys)))
+    left, right = place(found).withColumn("_f", F.lit(True)), place(waivers).withColumn("_w", F.lit(True))
     both = left.join(right, [*keys, "_k"], "full")
     outcome = F.when(F.col("_f") & F.col("_w"), "waived").when(F.col("_f"), "unwaived").otherwise("unused-waiver")
     return both.select(*keys, outcome.alias("outcome"))

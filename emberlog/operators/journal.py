@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,11 +116,29 @@ def batch_outcomes(requests: DataFrame, existing: DataFrame, key: str) -> DataFr
     return requests.join(known, key, "left").withColumn("outcome", F.when(F.col("_known"), "deleted").otherwise("10400")).drop("_known")
 
 
+def _granted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted claims with ``granted``: only a claim that was granted changes who holds the lease, and until when."""
+    instance, holder, held_until = None, None, None
+    for batch in batches:
+        out = []
+        for key, owner, at, until in zip(*[batch.column(c).to_pylist() for c in ("instance_id", "owner", "claimed_at", "until")], strict=True):
+            if key != instance:
+                instance, holder, held_until = key, None, None
+            free = held_until is None or held_until <= at or holder == owner
+            if free:
+                holder, held_until = owner, until
+            out.append(free)
+        yield batch.append_column("granted", pa.array(out, pa.bool_()))
+
+
 def lease_outcomes(claims: DataFrame) -> DataFrame:
-    """Each claim with the claim before it: granted if there is none, it is the same owner's or it is over."""
-    order = W.partitionBy("instance_id").orderBy("claimed_at", "claim_id")
-    held, until = F.lag("owner").over(order), F.lag("until").over(order)
-    return claims.withColumn("granted", F.coalesce((held == F.col("owner")) | (until < F.col("claimed_at")), F.lit(True)))
+    """Each claim with ``granted``: the instance has no lease, the claimer's own, or one that is over by then.
+
+    claims: instance_id, claim_id, owner, claimed_at, until. The claims of an instance stream by in order, so one with many needs no more memory.
+    """
+    rows = claims.repartition("instance_id").sortWithinPartitions("instance_id", "claimed_at", "claim_id")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in claims.schema.fields)
+    return rows.mapInArrow(_granted, f"{fields}, granted boolean")
 
 
 def controlled(status: Column, action: Column) -> Column:
@@ -156,9 +177,9 @@ def last_steps(steps: DataFrame, kinds: tuple[str, ...] = ("do", "waitForEvent")
 
 
 def fenced(commits: DataFrame, instances: DataFrame) -> DataFrame:
-    """Each commit with ``outcome``: it counts only under a lease of its owner that is not over; the deadline itself is over."""
+    """Each commit with ``outcome``: it counts only under a lease of its owner that is not over; the deadline itself is over, and a lease without one holds."""
     lease = instances.select(F.col("id").alias("instance_id"), "lease_owner", "lease_expires_at", F.lit(True).alias("_there"))
-    held = F.coalesce((F.col("lease_owner") == F.col("owner")) & (F.col("lease_expires_at") > F.col("created_at")), F.lit(False))
+    held = F.coalesce((F.col("lease_owner") == F.col("owner")) & (F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") > F.col("created_at"))), F.lit(False))
     outcome = F.when(F.col("_there").isNull(), "no-instance").when(held, "committed").otherwise("lease-lost")
     return commits.join(lease, "instance_id", "left").withColumn("outcome", outcome).drop("_there")
 
@@ -187,9 +208,9 @@ def valid_instance_id(public_id: Column) -> Column:
 
 
 def event_outcome(status: Column, event_type: Column) -> Column:
-    """Whether an event may be sent: its type's letters first, then whether there is an instance, then whether it takes events."""
+    """Whether an event may be sent: first whether there is an instance, then whether it takes events, then the type's letters."""
     bad = ~F.coalesce(event_type.rlike(r"\A[A-Za-z0-9_-]{1,100}\z"), F.lit(False))
-    return F.when(bad, "bad-type").when(status.isNull(), "not-found").when(K.can_execute(status), "sent").otherwise("not-running")
+    return F.when(status.isNull(), "not-found").when(~K.can_execute(status), "not-running").when(bad, "bad-type").otherwise("sent")
 
 
 def finished_rollbacks(registrations: DataFrame) -> DataFrame:

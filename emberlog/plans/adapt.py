@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog.functions.kernel import epoch_ms
+from emberlog.operators.coverage import probe_verdict
 
 DAY_MS = 86_400_000
 #: No two rows of an instance are equal in all of these, so numbering by them is settled.
@@ -79,9 +80,8 @@ def baseline(current: DataFrame) -> DataFrame:
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """probe, profile, requirement, verdict: a probe for each document."""
-    verdict = (
-        F.when(F.col("quality").isNull(), "UNTESTED").when(F.col("toxic") == 1, "DIVERGENT").when((F.col("quality") == 0) & (F.col("doc_id") % 5 == 0), "BLOCKED")
-        .when(F.col("doc_id") % 17 == 0, "STALE").when(F.col("doc_id") % 19 == 0, "UNSUPPORTED").otherwise("VERIFIED")
-    )
+    error = F.when((F.col("quality") == 0) & (F.col("doc_id") % 5 == 0), "failed")
+    verdict = probe_verdict(F.col("quality").isNotNull(), error, F.col("toxic") == 1, F.col("doc_id") % 17 == 0)
+    verdict = F.when((verdict == "VERIFIED") & (F.col("doc_id") % 19 == 0), "UNSUPPORTED").otherwise(verdict)
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return rows.select(F.col("doc_id").alias("probe"), F.col("lang").alias("profile"), F.concat_ws(".", "lang", "source", (F.col("doc_id") % 10).cast("string")).alias("requirement"), verdict.alias("verdict"))

@@ -53,7 +53,7 @@ baseline as (
 VERDICTS = """
 verdicts as (
   select d.doc_id probe, lang profile, lang || '.' || source || '.' || (d.doc_id % 10) requirement,
-    case when quality is null then 'UNTESTED' when toxic = 1 then 'DIVERGENT' when quality = 0 and d.doc_id % 5 = 0 then 'BLOCKED'
+    case when quality is null then 'UNTESTED' when quality = 0 and d.doc_id % 5 = 0 then 'BLOCKED' when toxic = 1 then 'DIVERGENT'
       when d.doc_id % 17 = 0 then 'STALE' when d.doc_id % 19 = 0 then 'UNSUPPORTED' else 'VERIFIED' end verdict
   from documents d left join labels l on d.doc_id = l.doc_id)"""
 RANK = "case verdict when 'DIVERGENT' then 0 when 'BLOCKED' then 1 when 'STALE' then 2 when 'UNTESTED' then 3 when 'VERIFIED' then 4 end"
@@ -201,14 +201,18 @@ def delete_batch_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return journal.batch_outcomes(requests, A.instances(spark, d), "id")
 
 
-@query("""select claim_id, owner, coalesce(held = owner or until_before < claimed_at, true) granted from (
-  select *, lag(owner) over w held, lag(until) over w until_before from (
-    select event_id claim_id, user_id % 50 instance_id, case when value > 50 then 'exec-a' else 'exec-b' end owner, epoch_us(ts) // 1000 claimed_at, epoch_us(ts) // 1000 + 30000 until from events)
-  window w as (partition by instance_id order by claimed_at, claim_id))""")
+@query("""with recursive c as (select *, row_number() over (partition by instance_id order by claimed_at, claim_id) k from (
+  select event_id claim_id, user_id % 50 instance_id, case when value > 50 then 'exec-a' else 'exec-b' end owner, epoch_us(ts) // 1000 claimed_at,
+    epoch_us(ts) // 1000 + event_id % 4 * 28800000 until from events)),
+f as (select instance_id, k, claim_id, owner, true granted, owner holder, until held_until from c where k = 1
+  union all select c.instance_id, c.k, c.claim_id, c.owner, held_until <= claimed_at or holder = c.owner,
+    case when held_until <= claimed_at or holder = c.owner then c.owner else holder end, case when held_until <= claimed_at or holder = c.owner then until else held_until end
+  from f join c on c.instance_id = f.instance_id and c.k = f.k + 1)
+select claim_id, owner, granted from f""")
 def lease_claims(spark: SparkSession, d: str) -> DataFrame:
     at = K.epoch_ms(F.col("ts"))
     rows = A.table(spark, d, "events").select(
-        F.col("event_id").alias("claim_id"), (F.col("user_id") % 50).alias("instance_id"), F.when(F.col("value") > 50, "exec-a").otherwise("exec-b").alias("owner"), at.alias("claimed_at"), (at + 30_000).alias("until")
+        F.col("event_id").alias("claim_id"), (F.col("user_id") % 50).alias("instance_id"), F.when(F.col("value") > 50, "exec-a").otherwise("exec-b").alias("owner"), at.alias("claimed_at"), (at + F.col("event_id") % 4 * 28_800_000).alias("until")
     )
     return journal.lease_outcomes(rows).select("claim_id", "owner", "granted")
 
@@ -309,34 +313,40 @@ def coverage_rollup(spark: SparkSession, d: str) -> DataFrame:
     return coverage.rollup(item_rows(spark, d), ["kind", "container"])
 
 
-GATE_SQL = f"""{STATES_SQL}, before as (select profile, count(*) filter (state in ('VERIFIED', 'STALE')) verified, count(*) + case when profile in ('de', 'en') then 1 else 0 end denominator from states group by 1),
-after as (select profile, count(*) filter (state = 'VERIFIED') verified, count(*) denominator from states group by 1),
-found as (select profile, 'denominator-shrink' kind, b.denominator before_, a.denominator after_ from before b join after a using (profile) where a.denominator < b.denominator
-  union all select profile, 'metric-drop', b.verified, a.verified from before b join after a using (profile) where a.verified < b.verified)"""
+GATE_SQL = f"""{STATES_SQL}, a as (select profile, requirement id, state from states where not (profile = 'en' and requirement like '%.3') union all select 'de', 'de.new', 'VERIFIED'),
+b as (select profile, requirement id, case state when 'STALE' then 'VERIFIED' else state end state from states union all select 'de', 'de.gone', 'UNTESTED' union all select 'xx', 'xx.' || x, 'VERIFIED' from range(2) r(x)),
+shrunk as (select 'denominator-shrink' kind, '*' oracle, profile, 'denominator' metric, (select coalesce(string_agg(id, ',' order by id), '') from b l where l.profile = p.profile and not exists (select 1 from a where a.profile = l.profile and a.id = l.id)) as scope,
+    (select count(*) from b l where l.profile = p.profile) n, (select count(*) from a l where l.profile = p.profile) m from (select distinct profile from b) p),
+dropped as (select 'metric-drop' kind, 'local' oracle, profile, 'verified-numerator' metric, (select coalesce(string_agg(id, ',' order by id), '') from b l where l.profile = p.profile and state = 'VERIFIED'
+      and not exists (select 1 from a where a.profile = l.profile and a.id = l.id and a.state = 'VERIFIED')) as scope,
+    (select count(*) from b l where l.profile = p.profile and state = 'VERIFIED') n, (select count(*) from a l where l.profile = p.profile and state = 'VERIFIED') m from (select distinct profile from b where profile in (select profile from a)) p),
+found as (select kind, oracle, profile, metric, scope, cast(n as varchar) before_, cast(m as varchar) after_ from (select * from shrunk union all select * from dropped) where scope <> '' or m < n
+  union all select 'upstream-pin-update', 'local', '*', 'candidate', '*', 'one', 'two')"""
 
 
 def gate(spark: SparkSession, d: str) -> DataFrame:
-    states = requirement_rows(spark, d)
-    after = coverage.cells(states, "profile")
-    before = coverage.cells(states.withColumn("state", F.when(F.col("state") == "STALE", "VERIFIED").otherwise(F.col("state"))), "profile")
-    before = before.withColumn("denominator", F.col("denominator") + F.col("profile").isin("de", "en").cast("long"))
-    return coverage.regressions(before, after, "profile")
+    states = requirement_rows(spark, d).select("profile", F.lit("local").alias("oracle"), F.col("requirement").alias("id"), "state")
+    more = lambda rows: spark.createDataFrame(rows, "profile string, oracle string, id string, state string")
+    after = states.where(~((F.col("profile") == "en") & F.col("id").endswith(".3"))).unionByName(more([("de", "local", "de.new", "VERIFIED")]))
+    before = states.withColumn("state", F.when(F.col("state") == "STALE", "VERIFIED").otherwise(F.col("state")))
+    before = before.unionByName(more([("de", "local", "de.gone", "UNTESTED"), ("xx", "local", "xx.0", "VERIFIED"), ("xx", "local", "xx.1", "VERIFIED")]))
+    pins = [spark.createDataFrame([("local", x), (y, x)], "oracle string, candidate string") for x, y in (("one", "old"), ("two", "new"))]
+    return coverage.regressions(before, after).unionByName(coverage.pin_updates(*pins))
 
 
-@query(f'with {GATE_SQL} select profile, kind, before_ as "before", after_ as "after" from found')
+@query(f'with {GATE_SQL} select kind, oracle, profile, metric, scope, before_ as "before", after_ as "after" from found')
 def gate_regressions(spark: SparkSession, d: str) -> DataFrame:
     return gate(spark, d)
 
 
-WAIVERS = [("de", "denominator-shrink"), ("fr", "denominator-shrink"), ("en", "metric-drop"), ("en", "metric-drop")]
-
-
-@query(f"""with {GATE_SQL}, f as (select profile, kind, row_number() over (partition by profile, kind) k from found),
-w as (select profile, kind, row_number() over (partition by profile, kind) k from (values {", ".join(map(str, WAIVERS))}) v(profile, kind))
-select coalesce(f.profile, w.profile) profile, coalesce(f.kind, w.kind) kind, case when f.k = w.k then 'waived' when w.k is null then 'unwaived' else 'unused-waiver' end outcome
-from f full join w on f.profile = w.profile and f.kind = w.kind and f.k = w.k""")
+@query(f"""with {GATE_SQL}, w as (select * from found where profile = 'xx' union all select * from found where profile = 'xx' union all select * from found where kind = 'upstream-pin-update'
+  union all select kind, oracle, profile, metric, scope, before_ || '0', after_ from found where profile = 'de')
+select kind, oracle, profile, metric, scope, before_ as "before", after_ as "after", case when profile = 'xx' or kind = 'upstream-pin-update' then 'waived' else 'unwaived' end outcome from found
+union all select *, 'unused-waiver' from found where profile = 'xx' union all select kind, oracle, profile, metric, scope, before_ || '0', after_, 'unused-waiver' from found where profile = 'de'""")
 def waiver_matching(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.matched_waivers(gate(spark, d), spark.createDataFrame(WAIVERS, "profile string, kind string"), ["profile", "kind"])
+    found = gate(spark, d)
+    gone, wrong = found.where("profile = 'xx'"), found.where("profile = 'de'").withColumn("before", F.concat("before", F.lit("0")))
+    return coverage.matched_waivers(found, gone.unionByName(gone).unionByName(found.where("kind = 'upstream-pin-update'")).unionByName(wrong))
 
 
 @query(f"""with {ITEMS}, {VERDICTS}, {ITEM_STATES}, u as (select container, id, count(*) over (partition by container) size, row_number() over (partition by container order by id) position from item_states where state = 'UNMAPPED')
@@ -391,10 +401,10 @@ def version_gate(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), version.alias("version"), inventory.version_at_least(version, F.lit("9.2.0")).alias("included"))
 
 
-@query("""select p_partkey id, (p_size || case p_partkey % 4 when 0 then ' seconds' when 1 then ' hour' when 2 then '' else ' moons' end) "text",
-  cast(case p_partkey % 4 when 0 then p_size * 1000 when 1 then p_size * 3600000 when 2 then p_size end as bigint) ms from part""")
+@query("""select p_partkey id, (p_size || case p_partkey % 8 when 0 then ' seconds' when 1 then ' hour' when 2 then '' when 3 then ' moons' when 4 then ' s' when 5 then ' Minutes' when 6 then 's' else 'WEEK ' end) "text",
+  cast(case p_partkey % 8 when 0 then p_size * 1000 when 1 then p_size * 3600000 when 2 then p_size when 5 then p_size * 60000 when 7 then cast(p_size as bigint) * 604800000 end as bigint) ms from part""")
 def duration_parse(spark: SparkSession, d: str) -> DataFrame:
-    unit = A.choice(F.col("p_partkey") % 4, {0: " seconds", 1: " hour", 2: "", 3: " moons"})
+    unit = A.choice(F.col("p_partkey") % 8, {0: " seconds", 1: " hour", 2: "", 3: " moons", 4: " s", 5: " Minutes", 6: "s", 7: "WEEK "})
     text = F.concat(F.col("p_size").cast("string"), unit)
     return A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text"), K.duration_ms(text).alias("ms"))
 

@@ -21,7 +21,7 @@ def test_retry_delay(spark, base, attempt, backoff, expected):
     assert value(spark, K.retry_delay_ms(F.lit(base), F.lit(attempt), F.lit(backoff))) == expected
 
 
-@pytest.mark.parametrize(("text", "ms"), [("5 seconds", 5000), ("1 hour", 3_600_000), ("5000", 5000), ("1 month", 2_592_000_000), ("2 moons", None), ("", None)])
+@pytest.mark.parametrize(("text", "ms"), [("5 seconds", 5000), ("1 hour", 3_600_000), ("5000", 5000), ("1 month", 2_592_000_000), ("2 moons", None), ("", None), ("5 s", None), ("5s", None), ("5 Seconds", 5000), (" 1.5 HOURS ", 5_400_000), ("1 hour x", None)])
 def test_duration(spark, text, ms):
     assert value(spark, K.duration_ms(F.lit(text))) == ms
 
@@ -29,6 +29,12 @@ def test_duration(spark, text, ms):
 def test_identity_and_hash(spark):
     assert value(spark, K.step_key(F.lit("abc"), F.lit("do"), F.lit("process"), F.lit(2))) == "abc/do/process/2"
     assert value(spark, K.fnv1a(F.lit("abc"))) == "1a47e90b"
+    for text in ("", "a\0b", "é", "x😀y"):
+        h = 0x811C9DC5
+        units = text.encode("utf-16-be")
+        for k in range(0, len(units), 2):
+            h = (h ^ int.from_bytes(units[k : k + 2], "big")) * 16777619 & 0xFFFFFFFF
+        assert value(spark, K.fnv1a(F.lit(text))) == f"{h:08x}"
     assert value(spark, K.percent(F.lit(1), F.lit(0))) is None
     assert value(spark, K.percent(F.lit(1), F.lit(8))) == 12.5
     assert value(spark, K.deadline_ready(F.lit(10), F.lit(10)))
@@ -130,3 +136,21 @@ def test_sections_against_brute_force(spark):
 def test_versions(spark):
     at_least = lambda a, b: value(spark, inventory.version_at_least(F.lit(a), F.lit(b)))
     assert at_least("10.0.0", "9.9.9") and not at_least("9.9.8", "9.9.9") and at_least(None, "1.0.0")
+
+
+def test_leases_fold_over_granted_claims(spark):
+    """A holds until 100: B is refused twice, and again one before the end; at the end B gets it. A lease without an end is free."""
+    claims = [(1, 1, "A", 0, 100), (1, 2, "B", 10, 110), (1, 3, "B", 20, 120), (1, 4, "A", 50, 100), (1, 5, "B", 99, 200), (1, 6, "B", 100, 200), (1, 7, "A", 150, 300), (2, 8, "B", 5, None), (2, 9, "A", 6, 9), (None, 10, "A", 1, 2)]
+    frame = spark.createDataFrame(claims, "instance_id long, claim_id long, owner string, claimed_at long, until long")
+    out = {r["claim_id"]: r["granted"] for r in journal.lease_outcomes(frame).collect()}
+    assert out == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True, 7: False, 8: True, 9: True, 10: True}
+    assert journal.lease_outcomes(frame.limit(0)).count() == 0
+
+
+def test_commits_and_events(spark):
+    instances = spark.createDataFrame([(1, "A", 10), (2, "A", None), (3, None, None)], "id long, lease_owner string, lease_expires_at long")
+    commits = spark.createDataFrame([(1, 9, "A"), (1, 10, "A"), (2, 99, "A"), (2, 99, "B"), (3, 1, "A"), (4, 1, "A")], "instance_id long, created_at long, owner string")
+    out = sorted((r["instance_id"], r["created_at"], r["owner"], r["outcome"]) for r in journal.fenced(commits, instances).collect())
+    assert [x[3] for x in out] == ["committed", "lease-lost", "committed", "lease-lost", "lease-lost", "no-instance"]
+    outcome = lambda status, kind: value(spark, journal.event_outcome(F.lit(status).cast("string"), F.lit(kind)))
+    assert [outcome(None, "a b"), outcome("complete", "a b"), outcome("running", "a b"), outcome("running", "a_b")] == ["not-found", "not-running", "bad-type", "sent"]
