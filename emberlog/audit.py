@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions import kernel as K
 from emberlog.operators import coverage, evidence, journal
 from emberlog.plans import adapt as A
 from emberlog.queries import INSTANCES, ITEMS, LOG, RANK, STATES_SQL, STEPS, UNRANK, VERDICTS, item_rows, query, requirement_rows
@@ -202,3 +203,46 @@ def update_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {ITEMS}, {VERDICTS} select id, kind, container from items where id not in (select probe % 3000 from verdicts)")
 def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
     return item_rows(spark, d).where("state = 'UNMAPPED'").select("id", "kind", "container")
+
+
+@query(f"""with {LOG}, r as (select instance_id batch, id "index", case when id % 5 = 0 then null when id % 997 = 0 then 'terminate' else 'w-' || (id % 31) end public_id from log),
+existing as (select distinct 'w-' || (p_partkey % 31) public_id from part where p_partkey % 31 in (1, 4)),
+b as (select batch, count(*) <= 100 and bool_and(public_id is null or (regexp_matches(public_id, '^[a-zA-Z0-9_][a-zA-Z0-9_-]*$') and length(public_id) <= 100
+  and public_id not in ('batch', 'terminate', 'terminateAll') and not regexp_matches(public_id, '^cf_[0-9a-f]{{64}}$'))) accepted from r group by 1)
+select batch, "index", public_id, case when not accepted then 'refused' when public_id is null then 'created'
+  when exists (select 1 from r e where e.batch = r.batch and e.public_id = r.public_id and e."index" < r."index") then '10415'
+  when public_id in (select public_id from existing) then '10405' else 'created' end outcome from r join b using (batch)""")
+def batch_create_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    name = lambda c: F.concat(F.lit("w-"), (F.col(c) % 31).cast("string"))
+    public = F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 997 == 0, "terminate").otherwise(name("id"))
+    requests = A.log(spark, d).select(F.col("instance_id").alias("batch"), F.col("id").alias("index"), public.alias("public_id"))
+    existing = A.table(spark, d, "part").where("p_partkey % 31 in (1, 4)").select(name("p_partkey").alias("public_id"))
+    return journal.batch_created(requests, existing)
+
+
+@query(r"""with t as (select p_partkey id, case p_partkey % 8 when 0 then p_size || ' days' when 1 then p_size || '' when 2 then p_size || '.5 hours' when 3 then p_size || ' moons'
+  when 4 then 'soon' when 5 then '-' || p_size || ' weeks' when 6 then p_size || ' years' else ' ' || p_size || ' ' end text from part),
+m as (select *, regexp_extract(text, '^([^ ]+) +(\w\w*?)s?$', 1) a, regexp_extract(text, '^([^ ]+) +(\w\w*?)s?$', 2) u from t),
+v as (select id, text, coalesce(try_cast(trim(text) as double), try_cast(a as double) * case u when 'day' then 86400000 when 'hour' then 3600000 when 'week' then 604800000 when 'year' then 31557600000 else 1 end) ms from m)
+select id, text, case when ms > 0 then ms end ms from v""")
+def batch_retention(spark: SparkSession, d: str) -> DataFrame:
+    rest, size = F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    forms = {0: (size, " days"), 1: (size,), 2: (size, ".5 hours"), 3: (size, " moons"), 4: ("soon",), 5: ("-", size, " weeks"), 6: (size, " years"), 7: (" ", size, " ")}
+    text = F.coalesce(*[F.when(rest == k, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])) for k, parts in forms.items()])
+    rows = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))
+    return rows.withColumn("ms", K.batch_retention_ms(F.col("text")))
+
+
+@query(f"""with {INSTANCES}, w(workflow, success, error) as (values ('1-URGENT', 14, null), ('2-HIGH', null, 1)), p(plan, days) as (values (0, 3), (1, 7)),
+r as (select id, created_at, status, coalesce(case when id % 4 = 0 then id % 9 end, success, days) s, coalesce(case when id % 6 = 0 then id % 9 end, error, days) e
+  from instances left join w using (workflow) left join p on plan = id % 3)
+select id, case status when 'queued' then created_at + s * 86400000 when 'rollingBack' then created_at + e * 86400000 end expires_at from r""")
+def retention_chain(spark: SparkSession, d: str) -> DataFrame:
+    days, schema = A.DAY_MS, "{} string, success_ms long, error_ms long"
+    workflows = spark.createDataFrame([("1-URGENT", 14 * days, None), ("2-HIGH", None, days)], schema.format("workflow"))
+    plans = spark.createDataFrame([(name, n * days, n * days) for name, n in K.PLAN_DAYS.items()], schema.format("plan"))
+    own = lambda k: F.when(F.col("id") % k == 0, (F.col("id") % 9) * days)
+    rows = A.instances(spark, d).withColumn("plan", F.when(F.col("id") % 3 == 0, "free").when(F.col("id") % 3 == 1, "paid"))
+    rows = journal.with_retention(rows.withColumns({"own_success_ms": own(4), "own_error_ms": own(6)}), workflows, plans)
+    ended = A.choice(F.col("status"), {"queued": "complete", "rollingBack": "errored"})
+    return rows.select("id", journal.expires_at(ended, F.col("created_at"), F.col("success_ms"), F.col("error_ms")).alias("expires_at"))

@@ -17,6 +17,13 @@ UNIT_MS = {
     "week": 604_800_000, "month": 2_592_000_000, "year": 31_536_000_000,
 }
 
+#: Milliseconds of a unit in the retention of a batch request.
+BATCH_UNIT_MS = {"minute": 60_000, "second": 1000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000, "month": 2_592_000_000, "year": 31_557_600_000}
+#: Words that are no instance ids in a batch request, and the most requests in one.
+RESERVED_IDS, BATCH_MOST = ("batch", "terminate", "terminateAll"), 100
+#: Days that a plan keeps instances for.
+PLAN_DAYS = {"free": 3, "paid": 7}
+
 
 def step_key(instance: Column, kind: Column, name: Column, count: Column) -> Column:
     return F.concat_ws("/", instance.cast("string"), kind, name, count.cast("string"))
@@ -51,6 +58,19 @@ def duration_ms(text: Column) -> Column:
     return F.when(number != "", F.floor(number.cast("double") * scale)).cast("long")
 
 
+def batch_retention_ms(text: Column) -> Column:
+    """The retention of a batch request: a number of milliseconds, or ``<n> unit``, where an unknown unit is a millisecond.
+
+    Null for what is no number or not above 0. Unlike in ``duration_ms`` a year has 365.25 days, and only small letters name a unit.
+    """
+    pattern = r"\A([^ ]+) +(\w\w*?)s?\z"
+    number = lambda c: F.when(c.rlike(r"\A\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"), F.trim(c).try_cast("double"))
+    unit = F.regexp_extract(text, pattern, 2)
+    scale = F.coalesce(*[F.when(unit == name, F.lit(float(ms))) for name, ms in BATCH_UNIT_MS.items()], F.lit(1.0))
+    ms = F.coalesce(number(text), number(F.regexp_extract(text, pattern, 1)) * scale)
+    return F.when((ms > 0) & (ms < float("inf")), ms)
+
+
 def epoch_ms(ts: Column) -> Column:
     """Milliseconds since 1970 of a timestamp with or without a zone (UTC)."""
     return F.floor(F.unix_micros(ts.cast("timestamp")) / 1000).cast("long")

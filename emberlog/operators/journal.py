@@ -207,6 +207,40 @@ def valid_instance_id(public_id: Column) -> Column:
     return F.coalesce(F.length(public_id).between(1, 100) & ~public_id.rlike(r"\Acf_[0-9a-f]{64}\z"), F.lit(False))
 
 
+def valid_batch_id(public_id: Column) -> Column:
+    """An id of a batch request: letters, digits, ``_`` and, after the first, ``-``; no reserved word, and none that schedules make."""
+    return valid_instance_id(public_id) & public_id.rlike(r"\A[a-zA-Z0-9_][a-zA-Z0-9_-]*\z") & ~public_id.isin(*K.RESERVED_IDS)
+
+
+def batch_created(requests: DataFrame, existing: DataFrame) -> DataFrame:
+    """Each request (batch, index, public_id) with ``outcome``: created, 10415 for an id met before in the batch, 10405 for an instance
+    that is there, or refused, with all others of its batch, if the batch is too large or has a wrong id. A request without an id is created.
+
+    Only batches of the allowed size are put in order, so no key is long.
+    """
+    right = F.col("public_id").isNull() | valid_batch_id(F.col("public_id"))
+    batches = requests.groupBy("batch").agg((F.bool_and(right) & (F.count("*") <= K.BATCH_MOST)).alias("_accepted"))
+    rows = requests.join(batches, "batch")
+    again = F.row_number().over(W.partitionBy("batch", "public_id").orderBy("index")) > 1
+    known = existing.select("public_id").distinct().withColumn("_known", F.lit(True))
+    taken = rows.where("_accepted").withColumn("_again", again).join(known, "public_id", "left")
+    outcome = F.when(F.col("public_id").isNull(), "created").when(F.col("_again"), "10415").when(F.col("_known"), "10405").otherwise("created")
+    out = taken.withColumn("outcome", outcome).drop("_accepted", "_again", "_known")
+    return out.unionByName(rows.where("not _accepted").drop("_accepted").withColumn("outcome", F.lit("refused")))
+
+
+def with_retention(instances: DataFrame, workflows: DataFrame, plans: DataFrame) -> DataFrame:
+    """``instances`` with success_ms and error_ms: each from the instance itself, else its workflow, else its plan; null keeps them for ever.
+
+    instances: workflow, plan, own_success_ms, own_error_ms. workflows and plans have one row for each name, with success_ms and error_ms.
+    """
+    level = lambda df, key: df.select(key, F.col("success_ms").alias(f"_{key}_success"), F.col("error_ms").alias(f"_{key}_error"))
+    out = instances.join(level(workflows, "workflow"), "workflow", "left").join(level(plans, "plan"), "plan", "left")
+    for end in ("success", "error"):
+        out = out.withColumn(f"{end}_ms", F.coalesce(f"own_{end}_ms", f"_workflow_{end}", f"_plan_{end}"))
+    return out.drop("_workflow_success", "_workflow_error", "_plan_success", "_plan_error")
+
+
 def event_outcome(status: Column, event_type: Column) -> Column:
     """Whether an event may be sent: first whether there is an instance, then whether it takes events, then the type's letters."""
     bad = ~F.coalesce(event_type.rlike(r"\A[A-Za-z0-9_-]{1,100}\z"), F.lit(False))

@@ -26,6 +26,22 @@ def test_duration(spark, text, ms):
     assert value(spark, K.duration_ms(F.lit(text))) == ms
 
 
+@pytest.mark.parametrize(("text", "ms"), [("1 year", 31_557_600_000.0), ("2 days", 172_800_000.0), ("1.5 hours", 5_400_000.0), ("40", 40.0), ("5 ms", 5.0), ("5 moons", 5.0), ("5s", None), ("", None), ("0", None), ("-1 day", None), ("x day", None), ("1e999", None), (None, None)])
+def test_batch_retention(spark, text, ms):
+    assert value(spark, K.batch_retention_ms(F.lit(text).cast("string"))) == ms
+
+
+def test_batch_create(spark):
+    rows = [("a", 0, "x"), ("a", 1, "x"), ("a", 2, "old"), ("a", 3, None), ("a", 4, None), ("b", 0, "y"), ("b", 1, "-bad"), ("c", 0, "batch"), ("d", 0, "x")]
+    rows += [("e", k, None) for k in range(101)]
+    requests = spark.createDataFrame(rows, "batch string, index int, public_id string")
+    out = {(r["batch"], r["index"]): r["outcome"] for r in journal.batch_created(requests, spark.createDataFrame([("old",), ("old",)], "public_id string")).collect()}
+    assert [out["a", k] for k in range(5)] == ["created", "10415", "10405", "created", "created"]
+    assert out["b", 0] == out["b", 1] == out["c", 0] == out["e", 100] == "refused"
+    assert out["d", 0] == "created"
+    assert len(out) == len(rows)
+
+
 def test_identity_and_hash(spark):
     assert value(spark, K.step_key(F.lit("abc"), F.lit("do"), F.lit("process"), F.lit(2))) == "abc/do/process/2"
     assert value(spark, K.fnv1a(F.lit("abc"))) == "1a47e90b"
