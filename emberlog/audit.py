@@ -10,7 +10,6 @@ from emberlog.operators import coverage, evidence, journal
 from emberlog.plans import adapt as A
 from emberlog.queries import INSTANCES, ITEMS, LOG, RANK, STATES_SQL, STEPS, UNRANK, VERDICTS, item_rows, query, requirement_rows
 
-PUBLIC_TYPES = {"step.started": "step_start", "attempt.errored": "attempt_failure", "step.completed": "step_success", "workflow.completed": "workflow_success"}
 TIMEOUT_MS = 30 * A.DAY_MS
 ORACLES = ["local", "hosted"]
 GLOBS = ["PROMO*", "*ARD", "S*", "NOTHING*"]
@@ -54,13 +53,6 @@ def attempt_timeouts(spark: SparkSession, d: str) -> DataFrame:
     return journal.attempt_ends(A.numbered_steps(A.steps(spark, d)), TIMEOUT_MS).select("instance_id", "ordinal", "ended")
 
 
-@query(f"""with {LOG}, m(kind, type) as (values {", ".join(map(str, PUBLIC_TYPES.items()))})
-select instance_id, id event_id, created_at "timestamp", type, json_extract_string(detail, '$.k') step from log join m using (kind)""")
-def public_events(spark: SparkSession, d: str) -> DataFrame:
-    rows = journal.public_events(A.log(spark, d), PUBLIC_TYPES)
-    return rows.select("instance_id", F.col("id").alias("event_id"), F.col("created_at").alias("timestamp"), "type", F.get_json_object("detail", "$.k").alias("step"))
-
-
 @query("""with p as (select p_partkey id, case p_partkey % 5 when 0 then 'cf_' || sha256(p_name) when 1 then repeat(p_name, 20) when 2 then '' else p_name end public_id from part)
 select id, length(public_id) between 1 and 100 and not regexp_matches(public_id, '^cf_[0-9a-f]{64}$') valid from p""")
 def instance_id_checks(spark: SparkSession, d: str) -> DataFrame:

@@ -89,3 +89,8 @@ def fnv1a(text: Column) -> Column:
     mask = F.lit(0xFFFFFFFF).cast("long")
     value = F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(mask))
     return F.lower(F.lpad(F.hex(value), 8, "0"))
+
+
+def canonical_json(text: Column) -> Column:
+    """A JSON text with the members of its objects in the order of their names, at every depth; null for what is no JSON."""
+    return F.to_json(F.try_parse_json(text))

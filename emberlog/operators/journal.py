@@ -196,12 +196,6 @@ def attempt_ends(attempts: DataFrame, timeout_ms: int) -> DataFrame:
     return attempts.withColumn("ended", F.when(took.isNull(), "open").when(took > timeout_ms, "timed-out").otherwise("finished"))
 
 
-def public_events(log: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Rows of the log that have a public type, with it; the others are dropped."""
-    kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in types.items()])
-    return log.withColumn("type", kind).where("type is not null")
-
-
 def valid_instance_id(public_id: Column) -> Column:
     """1 to 100 characters, and none of the ids that schedules make."""
     return F.coalesce(F.length(public_id).between(1, 100) & ~public_id.rlike(r"\Acf_[0-9a-f]{64}\z"), F.lit(False))

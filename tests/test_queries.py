@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from emberlog import audit  # noqa: F401  registers its queries
+from emberlog import audit, feeds  # noqa: F401  they register their queries
 from emberlog import queries as base
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
