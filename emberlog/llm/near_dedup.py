@@ -368,7 +368,10 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
         buckets = keep(job.classes.select("class_id", F.explode("bands").alias("key")), "buckets")
         shared = buckets.groupBy("key").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).where("hub <> last").select("key", "hub")
-        star = spread_join(buckets, shared, "key", "class_id").where("hub <> class_id").select(F.col("hub").alias("a"), F.col("class_id").alias("b"))
+        shared = keep(shared, "shared_keys")
+        # most keys have one class: their rows are told apart in place, and are not shuffled again
+        met = keep(marked_in(buckets, [F.col("key")], shared, [F.col("key")], "maybe").where("maybe").drop("maybe"), "shared_buckets")
+        star = spread_join(met, shared, "key", "class_id").where("hub <> class_id").select(F.col("hub").alias("a"), F.col("class_id").alias("b"))
         star = keep(star.distinct(), "star_pairs")
         links = keep(job.verified(star), "star_links")
         labels = components(links, keep)
