@@ -273,14 +273,19 @@ class Job:
     def __init__(self, classes: DataFrame, texts: DataFrame, width: int, threshold: float, miss: float, keep: Callable[..., DataFrame]):
         self.classes, self.texts, self.width, self.threshold, self.miss, self.keep = classes, texts, width, threshold, miss, keep
 
+    def maybe_in(self, ids: DataFrame) -> DataFrame:
+        """The rows of ``classes`` that the class_id of ``ids`` may name; the others, with their sketches, are not shuffled."""
+        return marked_in(self.classes, [F.col("class_id")], ids, [F.col("class_id")], "maybe").where("maybe").drop("maybe")
+
     def texts_of(self, ids: DataFrame) -> DataFrame:
         """class_id, text of the classes named in ``ids``; a row that is there twice gives its text twice."""
-        rows = self.keep(self.classes.join(ids, "class_id", "left_semi").select("class_id", "doc_id", "text_key"), "class_texts")
+        rows = self.keep(self.maybe_in(ids).join(ids, "class_id", "left_semi").select("class_id", "doc_id", "text_key"), "class_texts")
         return of_rows(self.texts, rows, "doc_id", "inner").select("class_id", "text")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The ``pairs`` (a, b) that are links, signatures first. Many pairs can share an ``a``, few a ``b``."""
-        side = lambda c: self.classes.select(F.col("class_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+        named = lambda c: self.maybe_in(pairs.select(F.col(c).alias("class_id")))
+        side = lambda c: named(c).select(F.col("class_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
         both = spread_join(pairs, side("a").join(pairs.select("a").distinct(), "a", "left_semi"), "a", "b").join(side("b"), "b")
         both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(100 * self.threshold))
         rows = both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(surviving(self.threshold, self.miss), "a long, b long")
@@ -312,7 +317,7 @@ class Job:
         members = spread_join(members, hubs, "hub", "class_id").withColumn("block", F.pmod(F.hash("class_id"), "blocks"))
         members = keep(members, "hub_members")
         wide = self.texts_of(members.select("class_id").distinct()).mapInArrow(wide_sketches(self.width), "class_id long, wide binary").dropDuplicates(["class_id"])
-        wide = keep(self.classes.select("class_id", "sketch").join(wide, "class_id"), "wide_sketches")
+        wide = keep(self.maybe_in(members).select("class_id", "sketch").join(wide, "class_id"), "wide_sketches")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         members = members.join(wide, "class_id").select("hub", "class_id", "part", "n_shingles", "sketch", "wide", "block", other)
         members = members.select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).drop("other")
